@@ -56,7 +56,7 @@ def _sliced(flat: np.ndarray, weight: float):
 def _summed(table: pa.Table) -> pa.Table:
     total = None
     for w, x in zip(table.column("weight").to_pylist(), table.column("part")):
-        part = np.frombuffer(x.as_py(), np.float32) * w
+        part = np.frombuffer(x.as_py(), np.float32).astype(np.float64) * w
         total = part if total is None else total + part
     return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "weight": [sum(table.column("weight").to_pylist())], "part": pa.array([total.tobytes()], pa.binary())})
 

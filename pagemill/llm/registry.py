@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, ngram_join, packing, secrets, token_counts
+import corpus_pipeline
+
+from . import chat, decontaminate, html_text, language_id, lm_scoring, neighbours, ngram_join, packing, secrets, token_counts
 
 
 def queries():
     return {
-        "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
+        "op1_vptree_neighbours": neighbours.op1_vptree_neighbours,
+        "op2_masked_lm_scoring": lm_scoring.op2_masked_lm_scoring,
+        "op3_chat_formatting": chat.op3_chat_formatting,
         "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_secret_scan": secrets.op6_secret_scan,
         "op7_bucket_packing": packing.op7_bucket_packing,
+        "op8_html_extraction": html_text.op8_html_extraction,
         "op9_language_id": language_id.op9_language_id,
+        "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op10_ngram_jaccard_join": ngram_join.ORACLE_PAIRS, "op7_bucket_packing": packing.oracle()}
+    return {
+        "op3_chat_formatting": chat.ORACLE,
+        "op7_bucket_packing": packing.oracle(),
+        "op10_ngram_jaccard_join": ngram_join.ORACLE_PAIRS,
+    }
