@@ -26,7 +26,7 @@ POSTINGS = "frag int, doc binary, size binary, sig binary, df binary, member bin
 PAIRS = "doc_a bigint, doc_b bigint, overlap bigint, jaccard double"
 #: Upper ends of the classes of document frequency in which a prefix is measured.
 EDGES = np.array([2, 4, 8, 16, 64, 256, 2048])
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def _arrays(row: pa.RecordBatch | pa.Table, name: str, kind) -> np.ndarray:
@@ -169,6 +169,14 @@ def _count_codes(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.
     return c[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _sent_pairs(c: np.ndarray, n: np.ndarray, total: np.uint64, parts: int):
+    """Rows for the parts: pairs as the first one and steps, small numbers, which compress."""
+    to = (c // total * np.uint64(parts) // total).astype(np.int32)
+    edge = np.flatnonzero(np.diff(to, prepend=-1, append=parts))
+    for a, b in zip(edge[:-1], edge[1:]):
+        yield pa.RecordBatch.from_arrays([pa.array([int(to[a])], pa.int32()), *[pa.array([_text.as_binary(x)], pa.binary()) for x in _steps(c[a:b])], pa.array([_text.as_binary(np.minimum(n[a:b], 65535).astype(np.uint16))], pa.binary())], ["part", "step", "long", "cnt"])
+
+
 def _prefix_pairs(docs: _Docs, t: float, parts: int):
     """Per fragment: pairs that share n-grams up to both cuts, and how many; ranges of pairs go to parts."""
 
@@ -179,10 +187,9 @@ def _prefix_pairs(docs: _Docs, t: float, parts: int):
                 local, _, _, df, member = _row(batch, i)
                 at = docs.find(local)
                 use = (at >= 0) & (docs.rep[at] == at) if len(docs.doc) else np.zeros(len(local), bool)
-                gram = np.repeat(np.arange(len(df)), df)
-                kind = np.searchsorted(EDGES, df)
-                mine = use[member] & (kind[gram] <= docs.cut[at[member]]) if len(docs.doc) else np.zeros(len(member), bool)
-                gram, who = gram[mine], at[member[mine]]
+                last = np.where(use, docs.cut[at], -1).astype(np.int8) if len(docs.doc) else np.full(len(local), -1, np.int8)
+                mine = np.flatnonzero(np.repeat(np.searchsorted(EDGES, df).astype(np.int8), df) <= last[member])
+                gram, who = np.searchsorted(np.cumsum(df), mine, "right"), at[member[mine]]
                 order = np.lexsort((docs.size[who], gram)) if len(who) else np.empty(0, np.int64)
                 gram, who = gram[order], who[order]
                 size = docs.size[who]
@@ -192,27 +199,25 @@ def _prefix_pairs(docs: _Docs, t: float, parts: int):
                 wide = np.int64(size.max() + 1) if len(size) else np.int64(1)
                 far = np.searchsorted(gram * wide + size, gram * wide + np.minimum(np.floor(size / t + 1e-9).astype(np.int64), wide - 1), "right")
                 reach = np.minimum(end, far) - np.arange(len(gram)) - 1
-                codes, counts, steps = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], np.cumsum(reach)
+                codes, counts, held, steps = [], [], 0, np.cumsum(reach)
                 a = 0
                 while a < len(gram):
                     b = max(a + 1, int(np.searchsorted(steps, (steps[a - 1] if a else 0) + BLOCK, "right")))
                     left = np.repeat(np.arange(a, b), reach[a:b])
                     right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(reach[a:b]) - reach[a:b], reach[a:b])
                     x, y = who[left], who[right]
+                    del left, right
                     lo, hi = np.minimum(x, y).astype(np.uint64), np.maximum(x, y).astype(np.uint64)
                     c, n = np.unique(lo * total + hi, return_counts=True)
                     codes.append(c)
                     counts.append(n)
-                    if sum(map(len, codes)) > 4 * BLOCK:
-                        c, n = _count_codes(codes, counts)
-                        codes, counts = [c], [n]
+                    held += len(c)
                     a = b
-                c, n = _count_codes(codes, counts)
-                to = (c // total * np.uint64(parts) // total).astype(np.int32)
-                edge = np.flatnonzero(np.diff(to, prepend=-1, append=parts))
-                for a, b in zip(edge[:-1], edge[1:]):
-                    # pairs as the first one and steps: small numbers, which compress
-                    yield pa.RecordBatch.from_arrays([pa.array([int(to[a])], pa.int32()), *[pa.array([_text.as_binary(x)], pa.binary()) for x in _steps(c[a:b])], pa.array([_text.as_binary(np.minimum(n[a:b], 65535).astype(np.uint16))], pa.binary())], ["part", "step", "long", "cnt"])
+                    if held > 4 * BLOCK:  # sent on as they are: counts of a pair are summed behind the shuffle
+                        yield from _sent_pairs(*_count_codes(codes, counts), total, parts)
+                        codes, counts, held = [], [], 0
+                if codes:
+                    yield from _sent_pairs(*_count_codes(codes, counts), total, parts)
 
     return run
 
@@ -236,18 +241,25 @@ def _candidates(docs: _Docs, t: float):
     def run(table: pa.Table) -> pa.Table:
         total = np.uint64(max(1, len(docs.doc)))
         c, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        codes, counts, held = [], [], 0
         for step, long, cnt in zip(*(table.column(k) for k in ("step", "long", "cnt"))):
             k = np.frombuffer(cnt.as_py(), np.uint16).astype(np.int64)
             k[k == 65535] = 1 << 40  # too many to hold: not bounded
-            c, n = _count_codes([c, _codes(step.as_py(), long.as_py())], [n, k])
+            codes.append(_codes(step.as_py(), long.as_py()))
+            counts.append(k)
+            held += len(k)
+            if held > max(BLOCK, len(c)):  # merged as often as the sum doubles
+                c, n = _count_codes([c, *codes], [n, *counts])
+                codes, counts, held = [], [], 0
+        c, n = _count_codes([c, *codes], [n, *counts])
         a, b = (c // total).astype(np.int64), (c % total).astype(np.int64)
         need = np.ceil(t / (1 + t) * (docs.size[a] + docs.size[b]) - 1e-9)
         # below the lesser cut all common n-grams were counted; beyond it there are at most so many
         low = np.where(docs.cut[a] == docs.cut[b], np.minimum(docs.rest[a], docs.rest[b]), np.where(docs.cut[a] < docs.cut[b], docs.rest[a], docs.rest[b]))
         keep = n + low >= need
         a, b = a[keep], b[keep]
-        edges = range(0, max(1, len(a)), BLOCK // 4)
-        rows = [(int(table.column("part")[0].as_py()), k, a[e : e + BLOCK // 4].astype(np.uint32).tobytes(), b[e : e + BLOCK // 4].astype(np.uint32).tobytes()) for k, e in enumerate(edges)]
+        edges = range(0, max(1, len(a)), BLOCK)
+        rows = [(int(table.column("part")[0].as_py()), k, a[e : e + BLOCK].astype(np.uint32).tobytes(), b[e : e + BLOCK].astype(np.uint32).tobytes()) for k, e in enumerate(edges)]
         return pa.table({k: pa.array(v, kind) for (k, kind), v in zip((("part", pa.int32()), ("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary())), zip(*rows))})
 
     return run
@@ -320,7 +332,7 @@ def similar_sets(docs: DataFrame, t: float = 0.5, n: int = 3, send_limit: int =
         raise ValueError("the threshold lies in (0, 1]")
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
-    count = fragments(docs, 16 << 20, most=65536)
+    count = fragments(docs, 6 << 20)
     texts = docs.select("doc_id", F.lower("text").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     postings = scratch.keep(texts.mapInArrow(_to_fragments(n, count), BLOB).repartition(count, "frag").groupBy("frag").applyInArrow(_postings, POSTINGS), "postings")
     parts = max(4, count // 2)
