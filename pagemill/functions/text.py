@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Unicode has it; SQL's trim takes blanks only.
 _SPACES = (("0009", "000d"), ("001c", "0020"), ("0085", ""), ("00a0", ""), ("1680", ""), ("2000", "200a"), ("2028", "2029"), ("202f", ""), ("205f", ""), ("3000", ""))
@@ -58,7 +59,7 @@ def extract_or_raw(reply: Column) -> Column:
     return F.coalesce(F.nullif(extract_transcription(raw), F.lit("")), raw)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _sha3(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: hashlib.sha3_256(t.encode("utf-8", "surrogatepass")).hexdigest())
 
