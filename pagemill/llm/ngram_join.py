@@ -419,11 +419,14 @@ def pairs(docs: DataFrame, t: float = 0.5, n: int = 3, send_limit: int = SEND_LI
     same = F.col("jaccard") >= 1
     copies = short.where(same).select(F.col("doc_a").alias("rep"), F.col("doc_b").alias("doc"), F.col("overlap").alias("size"))
     members = copies.select("rep", "doc").unionByName(copies.select("rep", F.col("rep").alias("doc")).distinct())
-    within = members.alias("x").join(copies.alias("y"), F.col("x.rep") == F.col("y.rep")).where("x.doc < y.doc").selectExpr("x.doc AS doc_a", "y.doc AS doc_b", "y.size AS overlap", "1.0D AS jaccard")
+    # as long as all copies may be sent, no pair is shuffled; beyond that the joins are
+    send = F.broadcast if copies.count() * 48 <= send_limit else lambda side: side
+    spread = members.repartition("doc")  # copies stand in one block, and so in one file
+    within = spread.alias("x").join(send(copies).alias("y"), F.col("x.rep") == F.col("y.rep")).where("x.doc < y.doc").selectExpr("x.doc AS doc_a", "y.doc AS doc_b", "y.size AS overlap", "1.0D AS jaccard")
     across = short.where(~same)
     for k in "ab":
         side = members.select(F.col("rep").alias(f"doc_{k}"), F.col("doc").alias(f"new_{k}"))
-        across = across.join(side, f"doc_{k}", "left").withColumn(f"doc_{k}", F.coalesce(f"new_{k}", f"doc_{k}"))
+        across = across.join(send(side), f"doc_{k}", "left").withColumn(f"doc_{k}", F.coalesce(f"new_{k}", f"doc_{k}"))
     across = across.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "overlap", "jaccard")
     return within.unionByName(across)
 
