@@ -154,10 +154,10 @@ def _runs(least: int):
             for k in range(least):
                 a = a * np.uint64(0xD1342543DE82EF95) + h[at + k]
                 b = b * np.uint64(0x9FB21C651E98DF25) + _text.mix(h[at + k])
-            take = pa.array(row)
+            keys, take = part.select(["host", "page", "row"]), pa.array(row)
             for x in range(0, len(row), 1 << 18):
                 y = slice(x, x + (1 << 18))
-                own = part.take(take[y])
+                own = keys.take(take[y])
                 yield pa.RecordBatch.from_arrays([own.column("host"), own.column("page"), own.column("row"), pa.array(place[y].astype(np.int32)), pa.array(_text.mix(a[y]).view(np.int64)), pa.array(_text.mix(b[y]).view(np.int64))], ["host", "page", "row", "place", "h1", "h2"])
 
     return run
