@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..shared import shared_dir, ship
@@ -36,8 +37,12 @@ class Scratch:
 
 
 def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate, which for a scan is the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate, which for a scan is the size of its files. Where it has none, the length of all texts."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 56:
+        return size
+    texts = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    return int(df.agg(sum(texts, F.count("*") * 8)).first()[0])
 
 
 def fragments(df: DataFrame, each: int, least: int = 4, most: int = 1 << 17) -> int:
