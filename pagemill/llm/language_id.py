@@ -3,9 +3,9 @@
 A text's features are its byte n-grams (2 to 4 bytes, letters only, the rest as blanks) hashed to rows of an embedding
 table; their average goes through a linear layer. Table and layer are trained by stochastic gradient descent in numpy on
 labelled rows: at most `most_docs` documents drawn by a hash of their id, cut into pieces of 4 to 60 words so that short
-texts are learnt too. A part of them is held out; on it the temperature of the probabilities and the least probability
-at which a language is accepted are set, so that the share of errors among what is accepted is at most `most_errors`;
-that probability is at least `floor`, by default 1.2 times that of a blind guess.
+texts are learnt too. Every fifth document is held out; on these, whole as the texts to be judged are, the temperature of
+the probabilities and the least probability at which a language is accepted are set, so that the share of errors among
+what is accepted is at most `most_errors`; that probability is at least `floor`, by default 1.2 times a blind guess's.
 For scoring, table and layer are multiplied out: a text's scores are the mean of one short row for each n-gram.
 
 Defined results: null, empty and letterless texts are rejected, with a null language and probability 0; so is every text
@@ -114,7 +114,10 @@ def train(samples: list[tuple[str, str]], epochs: int = 2, rate: float = 0.3, ba
     of = {lang: k for k, lang in enumerate(languages)}
     sets: tuple[list, list] = ([], [])
     for k, (lang, text) in enumerate(samples):
-        sets[k % 5 == 4].extend((p, of[lang]) for p in _pieces(text, rng))
+        if k % 5 == 4:
+            sets[1].append((text.lower().encode(), of[lang]))
+        else:
+            sets[0].extend((p, of[lang]) for p in _pieces(text, rng))
     c = len(languages)
     embed = rng.uniform(-1 / WIDTH, 1 / WIDTH, (ROWS + 1, WIDTH)).astype(np.float32)
     embed[ROWS] = 0
