@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import decontaminate, language_id, ngram_join, packing, secrets
-from pagemill.llm._work import Scratch
+from pagemill.llm._work import SEND_LIMIT, Scratch
 
 #: SQL can't train the classifier of the first stage; tests/llm checks every stage against brute force.
 ORACLE_SQL = None
@@ -26,9 +26,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that n-gram Jaccard pairs connect the document with the least doc_id stays; so does one row of rows with one doc_id and text."""
+    """Of each group that n-gram Jaccard pairs connect the document with the least doc_id stays; rows that share a doc_id stay or go together."""
     linked = ngram_join.groups(ngram_join.similar_sets(docs))
-    extra = linked.where("doc_id <> group_id").select("doc_id")
+    extra = Scratch(spark, "near-duplicates").keep(linked.where("doc_id <> group_id").select("doc_id"), "extra")
+    if extra.count() * 48 <= SEND_LIMIT:  # so long as their ids may be sent, no text is shuffled
+        extra = F.broadcast(extra)
     return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
 
 
