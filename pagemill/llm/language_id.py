@@ -162,7 +162,10 @@ def calibrate(model: Model, held: list[tuple[bytes, int]], most_errors: float, f
     z = total / np.maximum(count, 1)[:, None] + model.bias
     y = np.array([k for _, k in held])
     grid = np.geomspace(0.05, 20, 60)
-    loss = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
+    # smoothed targets: so few texts without an error don't prove that there are none
+    target = np.full(z.shape, 1 / (len(y) + 2) / max(1, z.shape[1] - 1))
+    target[np.arange(len(y)), y] = 1 - 1 / (len(y) + 2)
+    loss = [-(target * np.log(_softmax(z / t) + 1e-12)).sum(1).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
     p = _softmax(z / model.temperature)
     top = p.max(1)
