@@ -126,7 +126,7 @@ FROM h JOIN d{k - 1} p ON p.j < h.j JOIN z ON z.j = p.j GROUP BY h.j UNION ALL S
 e AS MATERIALIZED (SELECT l AS bound FROM h WHERE (SELECT count(*) FROM h) <= {buckets} OR j IN ({every})),
 a AS (SELECT doc_id, n_tokens, (SELECT min(bound) FROM e WHERE bound >= n_tokens) AS bound FROM s),
 c AS (SELECT *, count(*) OVER (PARTITION BY bound) AS docs FROM a),
-g AS (SELECT *, CAST(coalesce((doc_id % (docs + {per_shard - 1} - (docs + {per_shard - 1}) % {per_shard}) // {per_shard} + (docs + {per_shard - 1}) // {per_shard}) % ((docs + {per_shard - 1}) // {per_shard}), 0) AS BIGINT) AS shard FROM c),
+g AS (SELECT *, CAST(coalesce((doc_id % k + k) % k, 0) AS BIGINT) AS shard FROM (SELECT *, (docs + {per_shard - 1}) // {per_shard} AS k FROM c)),
 r AS (SELECT *, row_number() OVER (PARTITION BY bound, shard ORDER BY n_tokens, doc_id NULLS FIRST) - 1 AS row, greatest(1, {budget} // greatest(1, bound)) AS fit FROM g)
 SELECT doc_id, n_tokens, bound, shard, CAST(row // fit AS BIGINT) AS batch, CAST(row % fit AS BIGINT) AS place FROM r"""
     )
