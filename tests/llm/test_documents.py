@@ -213,12 +213,12 @@ def test_lm_prefers_what_it_learnt(spark):
             out.append(rng.choice(follow[out[-1]]))
         return " ".join(f"tok{x}" for x in out)
 
-    good = [(k, chain(400), "en") for k in range(200)]
-    bad = [(1000 + k, " ".join(rng.sample(chain(400).split(), 400)), "en") for k in range(20)]
+    good = [(k, chain(1500), "en") for k in range(300)]
+    bad = [(1000 + k, " ".join(rng.sample(chain(1500).split(), 1500)), "en") for k in range(20)]
     rows = lm_scoring.score(docs(spark, good + bad + [(2000, None, None), (2001, "", None), (None, chain(50), None)])).collect()
     by = {r.doc_id: r for r in rows}
-    assert len(rows) == 223 and by[2000].n_tokens == 0 and by[2001].mean_log_prob is None and by[None].n_tokens == 50
-    assert min(by[k].mean_log_prob for k in range(200)) > max(by[1000 + k].mean_log_prob for k in range(20))
+    assert len(rows) == 323 and by[2000].n_tokens == 0 and by[2001].mean_log_prob is None and by[None].n_tokens == 50
+    assert min(by[k].mean_log_prob for k in range(300)) > max(by[1000 + k].mean_log_prob for k in range(20))
     assert all(r.log_prob == pytest.approx(r.n_tokens * (r.mean_log_prob or 0)) for r in rows)
 
 
