@@ -100,21 +100,41 @@ def _row(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
 
 
 def _histograms(parts: int):
-    """Per document and fragment: n-grams in all, signature, and shared n-grams by class of document frequency."""
+    """Per document: n-grams in all, signature, and shared n-grams by class of document frequency, summed over a task's fragments."""
+    wide = len(EDGES) + 1
+
+    def merged(rows):
+        docs, local = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+        size, sig, hist = np.zeros(len(docs), np.uint32), np.zeros(len(docs), np.uint64), np.zeros((len(docs), wide), np.uint32)
+        at = 0
+        for own, a, b, c in rows:  # within a fragment a document stands once
+            to = local[at : at + len(own)]
+            size[to] += a
+            sig[to] += b
+            hist[to] += c
+            at += len(own)
+        to = (_text.mix(docs.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        edge = np.flatnonzero(np.diff(to[order], prepend=-1, append=parts))
+        for a, b in zip(edge[:-1], edge[1:]):
+            o = order[a:b]
+            step = np.diff(docs[o], prepend=0)  # small numbers, which compress
+            yield pa.RecordBatch.from_arrays([pa.array([int(to[o[0]])], pa.int32()), *[pa.array([_text.as_binary(x)], pa.binary()) for x in (step, size[o], sig[o], hist[o].T)]], ["part", "doc", "size", "sig", "hist"])
 
     def run(batches):
+        rows, held = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 docs, size, sig, df, member = _row(batch, i)
                 kind = np.repeat(np.searchsorted(EDGES, df), df)
-                wide = len(EDGES) + 1
                 hist = np.bincount(member.astype(np.int64) * wide + kind, minlength=len(docs) * wide).reshape(-1, wide).astype(np.uint32)
-                to = (_text.mix(docs.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(to, kind="stable")
-                edge = np.flatnonzero(np.diff(to[order], prepend=-1, append=parts))
-                for a, b in zip(edge[:-1], edge[1:]):
-                    o = order[a:b]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(to[o[0]])], pa.int32()), *[pa.array([_text.as_binary(x[o])], pa.binary()) for x in (docs, size, sig, hist)]], ["part", "doc", "size", "sig", "hist"])
+                rows.append((docs, size, sig, hist))
+                held += len(docs)
+                if held > 4 * BLOCK:
+                    yield from merged(rows)
+                    rows, held = [], 0
+        if rows:
+            yield from merged(rows)
 
     return run
 
@@ -123,12 +143,13 @@ def _survivors(t: float):
     """Sums the fragments' figures; keeps documents that can have a partner, with the last class of their prefix."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, local = np.unique(_arrays(table, "doc", np.int64), return_inverse=True)
         wide = len(EDGES) + 1
+        ids = np.concatenate([np.cumsum(np.frombuffer(x.as_py(), np.int64)) for x in table.column("doc")])
+        ids, local = np.unique(ids, return_inverse=True)
         size, hist, sig = np.zeros(len(ids), np.int64), np.zeros((len(ids), wide), np.int64), np.zeros(len(ids), np.uint64)
         np.add.at(size, local, _arrays(table, "size", np.uint32))
         np.add.at(sig, local, _arrays(table, "sig", np.uint64))
-        np.add.at(hist, local, _arrays(table, "hist", np.uint32).reshape(-1, wide))
+        np.add.at(hist, local, np.concatenate([np.frombuffer(x.as_py(), np.uint32).reshape(wide, -1).T for x in table.column("hist")]))
         shared = hist.sum(1)
         need = np.ceil(t * size - 1e-9).astype(np.int64)
         prefix = size - need + 1 - (size - shared)  # singletons come first in the order and pair with nobody
