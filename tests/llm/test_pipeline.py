@@ -13,13 +13,14 @@ from .test_text_operators import PEM
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("sf"))
     rng = random.Random(12)
-    rows = []
-    for k in range(120):
-        lang = sorted(SENTENCES)[k % 3]
-        rows.append((k, " ".join(rng.choice(SENTENCES[lang].split()) + rng.choice(["", "n", "s"]) for _ in range(50)), lang))
+
+    def fresh(lang):
+        return " ".join(rng.choice(SENTENCES[lang].split()) + rng.choice(["", "n", "s"]) for _ in range(50))
+
+    rows = [(k, fresh(lang := sorted(SENTENCES)[k % 3]), lang) for k in range(120)]
     bench = [(1, " ".join(f"question{k} answer{k}" for k in range(10)))]
     rows += [(200 + k, rows[k][1], rows[k][2]) for k in range(10)]
-    rows += [(300, rows[20][1] + " " + bench[0][1], rows[20][2]), (301, rows[21][1] + " " + PEM, rows[21][2]), (302, "12 34", "en"), (303, None, None), (304, "", None), (None, rows[30][1], None)]
+    rows += [(300, fresh("en") + " " + bench[0][1], "en"), (301, fresh("fr") + " " + PEM, "fr"), (302, "12 34", "en"), (303, None, None), (304, "", None), (None, rows[30][1], None)]
     spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return path
