@@ -1,11 +1,17 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact check.
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, shared word pairs, exact check.
 
 Items are put into classes of window size (each size at least 3/4 of an item's length). The first, middle and last
 window of an item are fingerprinted: 64 bits, each the majority over the window's word pairs. Every window of every text,
 at every word, gets the same fingerprint from one running sum per bit. A fingerprint within `radius` of another has one
 of its four 16-bit blocks within about radius / 4 (the bounds of the blocks add up to radius - 3), so tables of all such
-block values find every one of them. What is found
-is verified with the weighted similarity of word-pair multisets (weight: the pair's length in bytes) between the item
+block values find every one of them.
+
+Fingerprints alone lose near copies, so a second, exact search goes over the word pairs themselves. A window as similar
+as the threshold t shares pairs of at least t of an item's weight, so of the item's rarest pairs that have 1 - t / 2 of
+its weight it shares at least t / 2. All stretches of a text with so much of an item's rare pairs are found by a running
+sum over its hits, and every window of theirs is tried: no window at or above the threshold is lost.
+
+What is found is verified with the weighted similarity of word-pair multisets (weight: the pair's length in bytes) between the item
 and the item-sized window of the text: sum of w min(x, y) over sum of w max(x, y).
 
 Defined results: null, empty and word-less texts hold nothing; items that are null or shorter than min_words are not
@@ -105,11 +111,64 @@ class _Class:
         return np.concatenate(windows), np.concatenate(anchors)
 
 
+class _Rare:
+    """Of each item the rarest pairs, and how much of their weight a window of the item's similarity must have."""
+
+    def __init__(self, items: list[tuple], threshold: float):
+        spread: dict[int, int] = {}
+        for _, _, count, _, _ in items:
+            for x in count:
+                spread[x] = spread.get(x, 0) + 1
+        keys, owners, weights, self.demand = [], [], [], np.zeros(len(items))
+        for k, (_, _, count, weight, total) in enumerate(items):
+            held = 0
+            for x in sorted(count, key=lambda x: (spread[x], -weight[x], x)):
+                keys.append(x)
+                owners.append(k)
+                weights.append(weight[x])
+                held += count[x] * weight[x]
+                if held >= (1 - threshold / 2) * total:
+                    break
+            self.demand[k] = (held - (1 - threshold) * total) * (1 - 1e-9)
+        self.pairs = np.array([len(h) - 1 for _, h, *_ in items], np.int64)
+        key = np.array(keys, np.uint64)
+        order = np.argsort(key, kind="stable")
+        self.keys, first = np.unique(key[order], return_index=True)
+        self.ends = np.append(first, len(order))
+        self.owner, self.weight = np.array(owners, np.int64)[order], np.array(weights, np.int64)[order]
+        bits = max(12, (16 * len(self.keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.any = np.zeros(1 << bits, bool)
+        self.any[self.keys >> self.shift] = True
+
+    def search(self, g: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (item, pair) at which a stretch of the item's length begins that has what is demanded, in order.
+
+        The pairs g of a text end before stop; one that joins two texts lies at or behind its own.
+        """
+        at = np.flatnonzero(self.any[g >> self.shift])
+        at = at[at < stop[at]]
+        found = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
+        same = self.keys[found] == g[at]
+        at, found = at[same], found[same]
+        n = self.ends[found + 1] - self.ends[found]
+        posting = np.repeat(self.ends[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at, item = np.repeat(at, n), self.owner[posting]
+        width = len(g) + 1
+        key = item * width + at
+        order = np.argsort(key, kind="stable")
+        key, at, item = key[order], at[order], item[order]
+        sums = np.concatenate(([0], np.cumsum(self.weight[posting][order])))
+        last = np.searchsorted(key, item * width + np.minimum(at + self.pairs[item], stop[at]))
+        enough = sums[last] - sums[:-1] >= self.demand[item]
+        return item[enough], at[enough]
+
+
 class Index:
     """Everything that a search for some benchmark items needs."""
 
-    def __init__(self, items: list[tuple[int, str]], min_words: int = 8, radius: int = 9, ratio: float = 4 / 3):
-        self.radius, self.items = radius, []
+    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.6, min_words: int = 8, radius: int = 9, ratio: float = 4 / 3):
+        self.threshold, self.radius, self.items = threshold, radius, []
         for item_id, text in sorted((i, t) for i, t in items if i is not None and t):
             raw = np.frombuffer(text.lower().encode(), np.uint8)
             h, s, e, _ = _text.words(raw, np.array([0, len(raw)]))
@@ -133,6 +192,7 @@ class Index:
             prints = fingerprints(h, size)
             by[size] += [(k, o, int(prints[o])) for o in sorted({0, (len(h) - size) // 2, len(h) - size})]
         self.classes = [_Class(s, a, radius) for s, a in by.items()]
+        self.rare = _Rare(self.items, threshold)
 
     def similarity(self, k: int, g: np.ndarray, length: np.ndarray) -> float:
         """Of item k and the window with these pairs and word lengths."""
@@ -147,16 +207,58 @@ class Index:
                     common += weight[x]
         return common / (total + window - common) if common else 0.0
 
-    def find(self, h: np.ndarray, length: np.ndarray, offsets: np.ndarray, threshold: float) -> list[tuple[int, int, int, int, float]]:
+    def most_similar(self, k: int, g: list[int], weights: list[int], first: int) -> tuple[float, int]:
+        """(similarity, first word) of item k's best window of these pairs, of ties the first; the pairs begin at `first`."""
+        _, h, count, weight, total = self.items[k]
+        own: dict[int, int] = {}
+        common = window = best = at = 0
+        pairs = len(h) - 1
+        for j, (x, w) in enumerate(zip(g, weights)):
+            window += w
+            if x in count:
+                own[x] = own.get(x, 0) + 1
+                if own[x] <= count[x]:
+                    common += weight[x]
+            if j >= pairs:
+                old = g[j - pairs]
+                window -= weights[j - pairs]
+                if old in count:
+                    if own[old] <= count[old]:
+                        common -= weight[old]
+                    own[old] -= 1
+            if j >= pairs - 1 or j == len(g) - 1:  # a text shorter than the item is one window
+                similarity = common / (total + window - common)
+                if similarity > best:
+                    best, at = similarity, max(0, j - pairs + 1)
+        return best, first + at
+
+    def find(self, h: np.ndarray, length: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(text, item, first word, words, similarity), the best window of each text and item."""
         seen: set[tuple[int, int]] = set()
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         if not self.items:
             return []
-        least = self.classes[0].size
-        for a in range(0, max(0, len(h) - least + 1), CHUNK):
+        threshold = self.threshold
+        end_of = np.repeat(offsets[1:], np.diff(offsets))
+        for a in range(0, len(h), CHUNK):
             part = h[a : a + CHUNK + self.widest]
             g = _pairs(part)
+            if not len(g):
+                continue
+            done: tuple[int, int, int] = (-1, -1, -1)
+            for k, p in zip(*(x.tolist() for x in self.rare.search(g, end_of[a : a + len(g)] - a - 1))):
+                d = int(np.searchsorted(offsets, p + a, "right")) - 1
+                n, begin, end = len(self.items[k][1]), int(offsets[d]), int(offsets[d + 1])
+                first = max(begin, p + a - n + 2, done[2] if done[:2] == (k, d) else 0)
+                last = max(begin, min(p + a, end - n))
+                if first > last:
+                    first = last
+                done = k, d, last + 1
+                stop = min(last + n, end)
+                sim, at = self.most_similar(k, _pairs(h[first:stop]).tolist(), (length[first : stop - 1] + length[first + 1 : stop]).tolist(), first)
+                if sim >= threshold:
+                    new = (-sim, at - begin, min(at + n, end) - at)
+                    best[d, k] = min(best.get((d, k), new), new)
             sums = _running(g, self.widest)
             for c in self.classes:
                 prints = _fingerprints(sums, c.size)[:CHUNK]
@@ -187,27 +289,27 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, send_limit: int, **options):
     """Broadcast indexes of parts of the benchmark, each of a size that may be sent."""
     ship(docs.sparkSession)
     items = benchmark.select("item_id", "text")
-    parts = max(1, -(-size_in_bytes(items) * 24 // send_limit))  # tables and strings take about so much
+    parts = max(1, -(-size_in_bytes(items) * 32 // send_limit))  # tables and strings take about so much
     for p in range(parts):
         mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p)
         yield docs.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in mine.toLocalIterator()], **options))
 
 
-def _search(index: Index, part: pa.RecordBatch, buf: np.ndarray, bounds: np.ndarray, threshold: float):
+def _search(index: Index, buf: np.ndarray, bounds: np.ndarray):
     h, s, e, offsets = _text.words(buf, bounds)
-    return index.find(h, e - s, offsets, threshold)
+    return index.find(h, e - s, offsets)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, send_limit: int = SEND_LIMIT, **options) -> DataFrame:
     """The items that each text holds. Narrow: no text and no fingerprint is shuffled."""
     texts = docs.select("doc_id", F.lower("text").alias("text")).where("text IS NOT NULL")
     out = None
-    for sent in _indexes(docs, benchmark, send_limit, **options):
+    for sent in _indexes(docs, benchmark, send_limit, threshold=threshold, **options):
 
         def run(batches, sent=sent):
             for part, buf, bounds in _text.slices(batches):
                 ids = part.column("doc_id").to_pylist()
-                rows = [(ids[d], *x) for d, *x in _search(sent.value, part, buf, bounds, threshold)]
+                rows = [(ids[d], *x) for d, *x in _search(sent.value, buf, bounds)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
@@ -218,12 +320,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, send_li
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, send_limit: int = SEND_LIMIT, **options) -> DataFrame:
     """The rows of documents that hold no item, with all their columns."""
-    for sent in _indexes(docs, benchmark, send_limit, **options):
+    for sent in _indexes(docs, benchmark, send_limit, threshold=threshold, **options):
 
         def run(batches, sent=sent):
             for part, buf, bounds in _text.slices(batches, None):
                 keep = np.ones(part.num_rows, bool)
-                keep[[d for d, *_ in _search(sent.value, part, buf, bounds, threshold)]] = False
+                keep[[d for d, *_ in _search(sent.value, buf, bounds)]] = False
                 yield _text.kept(part, keep)
 
         docs = _text.with_lower(docs).mapInArrow(run, docs.schema)

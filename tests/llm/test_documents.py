@@ -126,6 +126,34 @@ def test_decontamination_finds_copies_and_close_edits(spark):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in got} and kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
+def test_decontamination_finds_every_copy_at_the_threshold(spark):
+    rng = random.Random(14)
+    lengths = [8, 10, 11, 15, 20, 27, 36, 48, 64]
+    items = [(k, item(rng, n)) for k, n in enumerate(n for n in lengths for _ in range(6))]
+    rows, want = [], {}
+    for k, text in items:
+        w = text.split()
+        for v in range(12):
+            x = list(w)
+            for _ in range(rng.randint(1, max(1, len(w) // 6))):
+                at, kind = rng.randrange(len(x)), rng.randint(0, 2)
+                x[at : at + 1] = [["changed"], ["put", "in"], []][kind]
+            host = item(rng, 60).split()
+            at = rng.choice([0, 30, 60])
+            whole = [] if v == 11 else host
+            y = whole[:at] + x + whole[at:]
+            best = max(brute_similarity(w, y[f : f + len(w)]) for f in range(max(1, len(y) - len(w) + 1)))
+            rows.append((100 * k + v, " ".join(y), "en"))
+            want[100 * k + v, k] = (len(w), best)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(docs(spark, rows), bench).collect()}
+    assert set(got) == {x for x, (_, s) in want.items() if s >= 0.6}
+    assert all(s == pytest.approx(want[x][1]) for x, s in got.items())
+    for low in (0.6, 0.7, 0.8, 0.9):  # every band is there, and 0.6 for every length
+        assert sum(low <= s < low + 0.1 for _, s in want.values()) > 10
+    assert {n for n, s in want.values() if 0.6 <= s < 0.8} >= set(lengths[2:])
+
+
 def test_hamming_blocks_find_all_within_radius():
     rng = np.random.default_rng(6)
     prints = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
