@@ -2,7 +2,7 @@
 
 The JVM's regular expressions keep texts with a candidate; only those go to Python. A candidate is reported when its
 structure holds: private keys must decode from base64 or hex to nested DER lengths of a known key form or to the length-
-prefixed fields of an OpenSSH key, signed tokens must have a JSON header that names an algorithm and a JSON payload,
+prefixed fields of an OpenSSH key, those encrypted under a DEK-Info header must have whole cipher blocks, signed tokens must have a JSON header that names an algorithm and a JSON payload,
 access key ids must decode from base32, and other hex or base64 strings must decode to a usual key size with well mixed
 bytes and be assigned to a name such as token or secret. Digests and long words without such structure are left alone.
 
@@ -29,13 +29,17 @@ FOUND = "doc_id bigint, kind string, start bigint, end bigint, detail string, di
 KINDS = ("private_key", "signed_token", "access_key_id", "assigned_hex", "assigned_base64")
 MARK = "[secret]"
 #: Texts without a match of this hold no candidate.
-CANDIDATE = r"(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z2-7]{16}|[A-Za-z0-9+/_=\-]{24}|-----BEGIN"
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]+?)-----END \1PRIVATE KEY-----")
-_TOKEN = re.compile(r"(?<![\w.-])(eyJ[\w-]{8,})\.([\w-]{8,})\.([\w-]*)")
+CANDIDATE = r"(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z2-7]{16}|[A-Za-z0-9+/_=\-]{24}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{2,}\.|-----BEGIN"
+_PEM = re.compile(r"(?s)-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----((?:(?!-----).)*)-----END \1PRIVATE KEY-----")
+#: Line ends and slashes as strings of JSON and of programs write them.
+_ESCAPED = re.compile(r"\\+([nrt/])")
+_HEADERS = re.compile(r"\s*((?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t]+\S[^\n]*\n)*)*)")
+_DEK = re.compile(r"(?m)^DEK-Info:\s*[A-Z0-9-]+,\s*((?:[0-9A-Fa-f]{16}){1,2})\s*$")
+_TOKEN = re.compile(r"(?<![\w.-])(eyJ[\w-]{8,})\.([\w-]{2,})\.([\w-]*)")
 _ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z2-7]{16}(?![A-Za-z0-9])")
-_HEX = re.compile(r"(?<![\w+/=-])(?:[0-9a-f]{24,}|[0-9A-F]{24,})(?![\w+/=-])")
-_BASE64 = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![\w+/=-])")
-_NAMED = re.compile(r"(?i)(?:token|secret|passw\w*|pwd|api[_-]?key|[_-]key|\bkey|auth\w*|bearer|credential\w*)[\"']?\s{0,3}(?:[=:]|=>|\bis\b)?\s{0,3}[\"']?$")
+_HEX = re.compile(r"(?<![\w+/-])(?:[0-9a-f]{24,}|[0-9A-F]{24,})(?![\w+/=-])")
+_BASE64 = re.compile(r"(?<![\w+/-])[A-Za-z0-9+/_-]{24,}={0,2}(?![\w+/=-])")
+_NAMED = re.compile(r"(?i)(?:token|secret|passw\w*|pwd|api[_-]?key|[_-]key|\bkey|auth\w*|bearer|credential\w*)[\"']?\s{0,3}(?:[=:]|=>|:=|\bis\b)?\s{0,3}[\"']?$")
 _SIZES = {12, 15, 16, 18, 20, 21, 24, 27, 28, 30, 32, 36, 40, 48, 64}
 
 
@@ -117,15 +121,26 @@ def mixed(b: bytes) -> bool:
     return len(b) >= 12 and len(set(b)) >= min(len(b) * 0.7, 100) and sum(31 < x < 127 for x in b) < len(b) * 0.85
 
 
+def pem_form(label: str, body: str) -> str | None:
+    """Which private key stands between the lines of a PEM block."""
+    body = re.sub(r"\r\n?", "\n", _ESCAPED.sub(lambda m: {"n": "\n", "r": "\r", "t": "\t"}.get(m[1], m[1]), body))
+    headers = _HEADERS.match(body)
+    raw = unbase64(re.sub(r"\s", "", body[headers.end() :]))
+    if not raw:
+        return None
+    dek = _DEK.search(headers[1])
+    if dek and re.search(r"(?m)^Proc-Type:\s*4,\s*ENCRYPTED\s*$", headers[1]):
+        return "encrypted" if len(raw) >= 32 and len(raw) % (len(dek[1]) // 2) == 0 else None
+    return key_form(raw) or ("encrypted" if "ENCRYPTED" in label and tlv(raw) and tlv(raw)[2] == len(raw) else None)
+
+
 def secrets(text: str | None) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, detail) of all confirmed secrets, in order."""
     if not text:
         return []
     found: list[tuple[int, str, int, int, str]] = []
     for m in _PEM.finditer(text):
-        raw = unbase64(re.sub(r"\s", "", m[2]))
-        form = raw and (key_form(raw) or ("encrypted" if "ENCRYPTED" in m[1] and tlv(raw) and tlv(raw)[2] == len(raw) else None))
-        if form:
+        if form := pem_form(m[1], m[2]):
             found.append((0, KINDS[0], m.start(), m.end(), form))
     for m in _TOKEN.finditer(text):
         head, body = _json(m[1]), _json(m[2])
