@@ -1,6 +1,7 @@
 """HTML extraction with host suffix arrays.
 
-Markup, scripts, styles and comments go; what is left is cut at white space. The token streams of all pages of a host are
+Markup, scripts, styles, comments and hidden elements (templates, vector images, frames) that are closed go; of one that
+closes itself or is never closed only the tag goes, and names such as svg-icon are no hidden elements. What is left is cut at white space. The token streams of all pages of a host are
 put one behind the other, a different end mark after each, and a suffix array is built by prefix doubling as deep as
 `least` tokens: suffixes of one rank then share their first `least` tokens. Runs of that length that distinct pages of a
 host have in common are boilerplate; every token that such a run covers goes, and the other runs are kept, one a line.
@@ -28,13 +29,39 @@ from ..shared import ship
 from . import _text
 
 LEAST, HOST_LIMIT = 8, 160 << 20
-_GONE = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[a-z/!?][^>]*(?:>|\Z)")
+_GONE = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)(noscript|template|iframe|svg)(?=[\s/>])(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*>|<[a-z/!?][^>]*(?:>|\Z)")
+_HIDDEN = re.compile(r"(?i)<(?:noscript|template|iframe|svg)[\s/>]")
 TEXTS, CLEAN = "host string, page_id bigint, text string", "page_id bigint, host string, text string, n_tokens bigint, n_kept bigint"
 
 
 def visible(html: str) -> str:
     """The text of a page without markup and with entities resolved."""
-    return entities.unescape(_GONE.sub(" ", html))
+    return entities.unescape(_GONE.sub(" ", _shown(html) if _HIDDEN.search(html) else html))
+
+
+def _shown(html: str) -> str:
+    """Without hidden elements that are closed; one that closes itself or is never closed is a tag like any other."""
+    opened: list[tuple[str, int]] = []
+    gone: list[tuple[int, int]] = []
+    for m in _GONE.finditer(html):
+        if not m[3]:
+            continue
+        name = m[3].lower()
+        if m[2]:
+            k = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == name), None)
+            if k is not None:
+                first = opened[k][1]
+                del opened[k:]
+                while gone and gone[-1][0] > first:  # elements within this one
+                    gone.pop()
+                gone.append((first, m.end()))
+        elif not m[0].endswith("/>"):
+            opened.append((name, m.start()))
+    out, at = [], 0
+    for first, end in gone:
+        out += [html[at:first], " "]
+        at = end
+    return "".join([*out, html[at:]])
 
 
 def ranks(tokens: np.ndarray, depth: int) -> np.ndarray:

@@ -201,6 +201,26 @@ def boilerplate_free(pages, least):
     return out
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<p>a</p><svg class="i"/><p>rest</p>', "a rest"),
+        ('<p>a</p><svg title="x>y" /><p>rest</p><svg><text>no</text></svg>b', "a rest b"),
+        ("<p>a</p><svg-icon name=x></svg-icon><template-x>rest</template-x><script-x>b</script-x>", "a rest b"),
+        ("a<svg>rest", "a rest"),
+        ("a<iframe src=x>rest<p>b", "a rest b"),
+        ("a<svg>rest<svg>no</svg>b", "a rest b"),
+        ("a<svg>no<svg>no</svg>no</svg>b<TEMPLATE>no<svg></TEMPLATE>c</svg>d", "a b c d"),
+        ("a<template>no<script>'</template>'</script>no</template>b<!-- <svg> -->c</iframe>d", "a b c d"),
+        ("a<noscript>no</noscript>b<style>no</style>c<script>no", "a b c"),
+        ("a<script/>no</script>b<svg", "a b"),
+        ("a<svg title='x>rest</svg >b", "a rest b"),
+    ],
+)
+def test_html_keeps_what_is_behind_hidden_elements(page, text):
+    assert html_text.visible(page).split() == text.split()
+
+
 @pytest.mark.parametrize("limit", [1 << 30, 1])
 def test_html_matches_brute_force(spark, limit):
     rng = random.Random(9)
