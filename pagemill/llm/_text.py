@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _POWERS.get(0, (np.empty(0),))[0].size < n:
         size = max(n, PIECE + 1)
         made = []
@@ -79,7 +79,7 @@ def words(buf: np.ndarray, bounds: np.ndarray, inside: np.ndarray = WORD) -> tup
         first[inner] = w[inner]
         last[inner - 1] = w[inner - 1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        power, inverse = _powers(b - a + 1)
+        power, inverse = powers(b - a + 1)
         sums = np.zeros(b - a + 1, np.uint64)
         np.cumsum(_TABLE[part] * power[: b - a], out=sums[1:])
         hashes.append(mix((sums[e] - sums[s]) * inverse[s]))

@@ -1,14 +1,27 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
-The global order of word n-grams (their hashes) is cut into fragments. Every fragment is worked on alone: it finds how
-many documents have each of its n-grams, drops those of one document, and counts the overlaps of candidate pairs; a
-pair's overlap is the sum over fragments. Candidates come from an exact prefix filter on document frequency: of two
-documents with Jaccard similarity t or more, each has one of their common n-grams among its |x| - ceil(t |x|) + 1
-rarest. Between Python and the shuffle n-grams travel as packed arrays, 6 bytes each.
+The global order of word n-grams (their hashes) is cut into fragments, and every fragment is worked on alone; a
+document's, and a pair's, figures are sums over fragments. The join has three steps:
+
+1. Each fragment finds which of its n-grams two documents or more have. A document of whose n-grams fewer than
+   ceil(t |x|) are shared has no partner and goes; of documents with the same words in the same order the least doc_id
+   stands for all, as their class.
+2. Over the classes' first documents alone, each fragment counts how many have each n-gram and names the n-gram's head,
+   the least of them. By the prefix filter, two documents with similarity t or more have an n-gram in common that for
+   both is among the |x| - ceil(t |x|) + 1 that fewest have (all ties at that place included). So they meet in the cell
+   of its head: a cell holds the documents that have that head among the heads of their prefix.
+3. The n-grams of the documents of a cell come together, and cells of many documents or n-grams are cut into blocks, of
+   which each two meet. The common n-grams are counted for each fragment of the order (a matrix product where many have
+   them, runs where few do) and summed per pair. A pair that meets in several cells counts in that of the least head.
+
+So no pair crosses a shuffle, none is collected, and no table of documents is sent but below a checked size. Steps 1 and
+2 tell n-grams apart by fragment and 32 more bits, which can only let more documents pass (sizes that fell short are
+allowed for by a slack); step 3 uses whole 64-bit hashes.
 
 Defined results: a null doc_id takes part in no pair; null and empty texts and texts without words have no n-grams and
 no pairs; rows with the same doc_id are one document with the n-grams of all of them; documents with fewer than n words
-have one shorter n-gram; ties need no rule, since all pairs are returned; other columns are ignored.
+have one shorter n-gram; ties need no rule, since all pairs count; very long texts are documents like any other; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,435 +34,488 @@ from pyspark.sql import functions as F
 from . import _text
 from ._work import SEND_LIMIT, Scratch, fragments
 
-BLOB = "frag int, doc binary, cnt binary, lo binary, hi binary"
-POSTINGS = "frag int, doc binary, size binary, sig binary, df binary, member binary"
+ENTRIES = "frag int, doc binary, far binary, gram binary, words binary"
+FIGURES = "part int, doc binary, far binary, key binary, head binary, place binary, size binary, words binary"
+CELL_ROWS = "grp bigint, head bigint, low int, high int, side int, doc_id bigint, copies bigint, heads binary, grams binary"
+LINKS = "doc_id bigint, links bigint, root bigint"
 PAIRS = "doc_a bigint, doc_b bigint, overlap bigint, jaccard double"
-#: Upper ends of the classes of document frequency in which a prefix is measured.
-EDGES = np.array([2, 4, 8, 16, 64, 256, 2048])
-BLOCK = 1 << 19
+#: Rows of one slice (14 bits of a key), n-grams of one fragment, and the most documents and n-grams of one block of a cell.
+ROWS, FRAGMENT, BLOCK_DOCS, BLOCK_GRAMS = 1 << 14, 3 << 19, 2048, 1 << 21
+#: Cells of up to so many documents are counted side by side; columns of one matrix product.
+SMALL, COLUMNS = 64, 2048
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def _first(x: np.ndarray) -> np.ndarray:
+    """Which elements of a sorted array differ from the one before."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return new
+
+
+def _steps(ids: np.ndarray, kind) -> tuple[bytes, bytes]:
+    """Ascending ids as short steps; the kind's greatest value stands for the next of the far ones."""
+    step, most = np.diff(ids.view(np.uint64), prepend=np.uint64(0)), np.uint64(np.iinfo(kind).max)
+    far = step >= most
+    return np.where(far, most, step).astype(kind).tobytes(), step[far].tobytes()
+
+
+def _ids(step, far, kind) -> np.ndarray:
+    x = np.frombuffer(step or b"", kind).astype(np.uint64)
+    x[x == np.iinfo(kind).max] = np.frombuffer(far or b"", np.uint64)
+    return np.cumsum(x, dtype=np.uint64).view(np.int64)
+
+
+def _blob(x) -> bytes:
+    return x.as_py() or b""
+
+
+def _arrays(column, kind) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *(np.frombuffer(_blob(x), kind) for x in column)])
+
+
+def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = [(x.split()[0], {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in schema.split(", ")]
+    columns = zip(*rows) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, names)], [n for n, _ in names])
+
+
+def _order_of(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers for each text's sequence of words."""
+    n = np.diff(offsets)
+    at = np.arange(len(h)) - np.repeat(offsets[:-1], n)
+    up, down = _text.powers(int(n.max(initial=0)) + 1)
+    out = np.empty((len(n), 2), np.uint64)
+    for k, x in enumerate((h * up[at], (h ^ (h >> np.uint64(29))) * down[at])):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))
+        out[:, k] = _text.mix(sums[offsets[1:]] - sums[offsets[:-1]] + n.astype(np.uint64))
+    return out
+
+
+def _slack(size: np.ndarray) -> np.ndarray:
+    """More n-grams than a document's can have fallen together with others of its own."""
+    return 2 + (size.astype(np.float64) ** 2 / 2**32).astype(np.int64)
+
+
+def _entries(n: int, count: int, parts: int):
+    """For each slice and fragment the documents' n-grams, by document; behind the fragments, for each part, sizes and word orders."""
+
+    def sent(part: pa.RecordBatch, buf: np.ndarray, bounds: np.ndarray):
+        h, _, _, offsets = _text.words(buf, bounds)
+        ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+        by = np.argsort(ids, kind="stable")
+        ids = ids[by]
+        rank = np.empty(len(by), np.uint64)
+        rank[by] = np.arange(len(by), dtype=np.uint64)
+        g, at = _text.grams(h, offsets, n)
+        key = (((g >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32) << np.uint64(14) | np.repeat(rank, np.diff(at))) << np.uint64(32) | g & _LOW
+        key.sort()
+        key = key[_first(key)]
+        row = ((key >> np.uint64(32)) & np.uint64(ROWS - 1)).astype(np.int64)
+        size = np.bincount(row, minlength=len(ids))
+        who, gram = ids[row], (key & _LOW).astype(np.uint32)
+        edge = np.searchsorted(key, np.arange(count + 1, dtype=np.uint64) << np.uint64(46))
+        rows = [(f, *_steps(who[a:b], np.uint8), gram[a:b].tobytes(), None) for f, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
+        words = _order_of(h, offsets)[by]
+        some = np.flatnonzero(size)
+        to = _part(ids[some], parts)
+        by = np.argsort(to, kind="stable")
+        some, to = some[by], to[by]
+        edge = np.searchsorted(to, np.arange(parts + 1))
+        rows += [(count + p, ids[s].tobytes(), None, size[s].astype(np.uint32).tobytes(), words[s].tobytes()) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a for s in [some[a:b]]]
+        if rows:
+            yield _record(rows, ENTRIES)
 
+    def run(batches):
+        for part, buf, bounds in _text.slices(batches):
+            for a in range(0, part.num_rows, ROWS):
+                yield from sent(part.slice(a, ROWS), buf, bounds[a : a + ROWS + 1])
 
-def _arrays(row: pa.RecordBatch | pa.Table, name: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_py() or b"", kind) for x in row.column(name)] or [np.empty(0, kind)])
+    return run
 
 
-def _unique_rows(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Which rows stay when equal (doc, value) are dropped; the rows are sorted by both."""
-    keep = np.ones(len(doc), bool)
-    keep[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-    return keep
+def _part(ids: np.ndarray, parts: int) -> np.ndarray:
+    return (_text.mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-def _to_fragments(n: int, count: int):
-    width = (1 << 64) // count + 1
+def _passed_on(table: pa.Table, part: int) -> pa.Table:
+    rows = [(part, doc.as_py(), None, None, None, None, size.as_py(), words.as_py()) for doc, size, words in zip(*(table.column(k) for k in ("doc", "gram", "words")))]
+    return pa.Table.from_batches([_record(rows, FIGURES)])
 
-    def run(batches):
-        for part, buf, bounds in _text.slices(batches):
-            h, _, _, offsets = _text.words(buf, bounds)
-            g, at = _text.grams(h, offsets, n)
-            doc = np.repeat(np.arange(part.num_rows, dtype=np.uint32), np.diff(at))
-            order = np.lexsort((g, doc))
-            g, doc = g[order], doc[order]
-            keep = _unique_rows(doc, g)
-            g, doc = g[keep], doc[keep]
-            frag = (g // np.uint64(width)).astype(np.int32)
-            order = np.argsort(frag.astype(np.uint16) if count <= 65536 else frag, kind="stable")
-            g, doc, frag = g[order], doc[order], frag[order]
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            edge = np.flatnonzero(np.diff(frag, prepend=-1, append=count))
-            rows = []
-            for a, b in zip(edge[:-1], edge[1:]):
-                d, cnt = np.unique(doc[a:b], return_counts=True)
-                rows.append((int(frag[a]), _text.as_binary(ids[d]), _text.as_binary(cnt.astype(np.uint32)), _text.as_binary(g[a:b].astype(np.uint32)), _text.as_binary((g[a:b] >> np.uint64(32)).astype(np.uint16))))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 4])], ["frag", "doc", "cnt", "lo", "hi"])
 
-    return run
+def _of_fragment(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A fragment's entries: whose they are, the order by n-gram, and first place and number of each n-gram in it."""
+    who = np.concatenate([_ids(d.as_py(), f.as_py(), np.uint8) for d, f in zip(table.column("doc"), table.column("far"))])
+    key = _arrays(table.column("gram"), np.uint32).astype(np.uint64) << np.uint64(32) | np.arange(len(who), dtype=np.uint64)
+    key.sort()
+    first = np.flatnonzero(_first(key >> np.uint64(32)))
+    return who, key, first, np.diff(np.append(first, len(key)))
 
 
-def _postings(table: pa.Table) -> pa.Table:
-    """One fragment: who has each n-gram that two documents or more have, and each document's n-grams in all."""
-    ids = _arrays(table, "doc", np.int64)
-    doc = np.repeat(np.arange(len(ids), dtype=np.uint32), _arrays(table, "cnt", np.uint32))
-    # 48 bits within a fragment tell n-grams apart, as the fragment holds the first bits
-    elem = _arrays(table, "hi", np.uint16).astype(np.uint64) << np.uint64(32) | _arrays(table, "lo", np.uint32)
-    docs, local = np.unique(ids, return_inverse=True)
-    doc = local.astype(np.uint32)[doc]
-    order = np.argsort(elem, kind="stable")
-    if len(docs) < len(ids):
-        order = np.lexsort((doc, elem))
-        keep = _unique_rows(doc[order], elem[order])
-        order = order[keep]
-    elem, doc = elem[order], doc[order]
-    size = np.bincount(doc, minlength=len(docs)).astype(np.uint32)
-    by = np.argsort(doc, kind="stable")
-    sums = np.zeros(len(elem) + 1, np.uint64)
-    np.cumsum(_text.mix(elem ^ np.uint64(0x5851F42D4C957F2D))[by], out=sums[1:])
-    ends = np.cumsum(size)
-    sig = sums[ends] - sums[ends - size]
-    first = np.flatnonzero(np.concatenate(([True], elem[1:] != elem[:-1]))) if len(elem) else np.empty(0, np.int64)
-    df = np.diff(np.append(first, len(elem)))
-    shared = np.repeat(df > 1, df)
-    values = [docs, size, sig, df[df > 1].astype(np.uint32), doc[shared]]
-    return pa.table({"frag": pa.array([table.column("frag")[0].as_py()], pa.int32())} | {k: pa.array([_text.as_binary(v)], pa.binary()) for k, v in zip(("doc", "size", "sig", "df", "member"), values)})
-
-
-def _row(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
-    one = batch.slice(i, 1)
-    return tuple(_arrays(one, k, t) for k, t in (("doc", np.int64), ("size", np.uint32), ("sig", np.uint64), ("df", np.uint32), ("member", np.uint32)))
-
-
-def _histograms(parts: int):
-    """Per document: n-grams in all, signature, and shared n-grams by class of document frequency, summed over a task's fragments."""
-    wide = len(EDGES) + 1
-
-    def merged(rows):
-        docs, local = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
-        size, sig, hist = np.zeros(len(docs), np.uint32), np.zeros(len(docs), np.uint64), np.zeros((len(docs), wide), np.uint32)
-        at = 0
-        for own, a, b, c in rows:  # within a fragment a document stands once
-            to = local[at : at + len(own)]
-            size[to] += a
-            sig[to] += b
-            hist[to] += c
-            at += len(own)
-        to = (_text.mix(docs.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(to, kind="stable")
-        edge = np.flatnonzero(np.diff(to[order], prepend=-1, append=parts))
-        for a, b in zip(edge[:-1], edge[1:]):
-            o = order[a:b]
-            step = np.diff(docs[o], prepend=0)  # small numbers, which compress
-            yield pa.RecordBatch.from_arrays([pa.array([int(to[o[0]])], pa.int32()), *[pa.array([_text.as_binary(x)], pa.binary()) for x in (step, size[o], sig[o], hist[o].T)]], ["part", "doc", "size", "sig", "hist"])
-
-    def run(batches):
-        rows, held = [], 0
-        for batch in batches:
-            for i in range(batch.num_rows):
-                docs, size, sig, df, member = _row(batch, i)
-                kind = np.repeat(np.searchsorted(EDGES, df), df)
-                hist = np.bincount(member.astype(np.int64) * wide + kind, minlength=len(docs) * wide).reshape(-1, wide).astype(np.uint32)
-                rows.append((docs, size, sig, hist))
-                held += len(docs)
-                if held > 4 * BLOCK:
-                    yield from merged(rows)
-                    rows, held = [], 0
-        if rows:
-            yield from merged(rows)
-
-    return run
+def _by_part(who: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    to = _part(who, parts)
+    order = np.lexsort((who, to))
+    return order, np.searchsorted(to[order], np.arange(parts + 1))
 
 
-def _survivors(t: float):
-    """Sums the fragments' figures; keeps documents that can have a partner, with the last class of their prefix."""
+def _shared(count: int, parts: int):
+    """One fragment: how many of each document's n-grams another has too."""
 
     def run(table: pa.Table) -> pa.Table:
-        wide = len(EDGES) + 1
-        ids = np.concatenate([np.cumsum(np.frombuffer(x.as_py(), np.int64)) for x in table.column("doc")])
-        ids, local = np.unique(ids, return_inverse=True)
-        size, hist, sig = np.zeros(len(ids), np.int64), np.zeros((len(ids), wide), np.int64), np.zeros(len(ids), np.uint64)
-        np.add.at(size, local, _arrays(table, "size", np.uint32))
-        np.add.at(sig, local, _arrays(table, "sig", np.uint64))
-        np.add.at(hist, local, np.concatenate([np.frombuffer(x.as_py(), np.uint32).reshape(wide, -1).T for x in table.column("hist")]))
-        shared = hist.sum(1)
-        need = np.ceil(t * size - 1e-9).astype(np.int64)
-        prefix = size - need + 1 - (size - shared)  # singletons come first in the order and pair with nobody
-        keep = prefix > 0
-        cut = (np.cumsum(hist, 1) < prefix[:, None]).sum(1)
-        rest = hist.sum(1) - np.take_along_axis(np.cumsum(hist, 1), np.minimum(cut, wide - 1)[:, None], 1)[:, 0]
-        return pa.table({"doc_id": ids[keep], "size": size[keep], "sig": sig[keep].astype(np.int64), "cut": cut[keep].astype(np.int32), "rest": rest[keep]})
+        frag = table.column("frag")[0].as_py()
+        if frag >= count:
+            return _passed_on(table, frag - count)
+        who, key, _, df = _of_fragment(table)
+        mark = np.empty(len(who), bool)
+        mark[(key & _LOW).astype(np.int64)] = np.repeat(df > 1, df)
+        start = np.flatnonzero(_first(who))
+        own, n = who[start], np.add.reduceat(mark, start, dtype=np.int64)
+        own, n = own[n > 0], n[n > 0]
+        order, edge = _by_part(own, parts)
+        own, n = own[order], n[order].astype(np.uint32)
+        rows = [(p, *_steps(own[a:b], np.uint16), n[a:b].tobytes(), None, None, None, None) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
+        return pa.Table.from_batches([_record(rows, FIGURES)])
 
     return run
 
 
-class _Docs:
-    """The surviving documents, sorted by id; rep: the first with the same n-grams."""
-
-    def __init__(self, rows: pa.Table):
-        get = lambda k: rows.column(k).to_numpy()
-        order = np.argsort(get("doc_id"))
-        self.doc, self.size, self.sig, self.cut, self.rest = (get(k)[order] for k in ("doc_id", "size", "sig", "cut", "rest"))
-        same = np.lexsort((self.doc, self.sig, self.size))
-        new = np.ones(len(same), bool)
-        new[1:] = (self.sig[same][1:] != self.sig[same][:-1]) | (self.size[same][1:] != self.size[same][:-1])
-        self.rep = np.empty(len(same), np.int64)
-        self.rep[same] = same[np.flatnonzero(new)][np.cumsum(new) - 1] if len(same) else same
-
-    def find(self, ids: np.ndarray) -> np.ndarray:
-        """Positions among the survivors, or -1."""
-        if not len(self.doc):
-            return np.full(len(ids), -1)
-        at = np.minimum(np.searchsorted(self.doc, ids), len(self.doc) - 1)
-        return np.where(self.doc[at] == ids, at, -1)
+def _headed(count: int, parts: int):
+    """One fragment: for each document's shared n-grams how many have them, and who is the first."""
 
+    def run(table: pa.Table) -> pa.Table:
+        frag = table.column("frag")[0].as_py()
+        if frag >= count:
+            return _passed_on(table, frag - count)
+        who, key, first, df = _of_fragment(table)
+        who = who[(key & _LOW).astype(np.int64)]
+        many = np.repeat(df > 1, df)
+        head = np.repeat(np.minimum.reduceat(who, first), df)[many]
+        # rare ones first; of those that equally many have, by a byte of the n-gram
+        place = (np.repeat(np.minimum(df, (1 << 24) - 1).astype(np.uint32), df) << np.uint32(8) | (key >> np.uint64(32)).astype(np.uint32) & np.uint32(255))[many]
+        who = who[many]
+        order, edge = _by_part(who, parts)
+        who, head, place = who[order], head[order], place[order]
+        rows = []
+        for p, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+            if b > a:
+                heads, at = np.unique(head[a:b], return_inverse=True)
+                step, far = _steps(heads, np.uint16)
+                at = at.astype(np.uint16 if len(heads) < 1 << 16 else np.uint32)
+                rows.append((p, *_steps(who[a:b], np.uint16), place[a:b].tobytes(), len(step).to_bytes(4, "little") + step + far, at.tobytes(), None, None))
+        return pa.Table.from_batches([_record(rows, FIGURES)])
 
-def _count_codes(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    c, n = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(c, kind="stable")
-    c, n = c[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.empty(0, np.int64)
-    return c[first], np.add.reduceat(n, first) if len(first) else n
+    return run
 
 
-def _sent_pairs(c: np.ndarray, n: np.ndarray, total: np.uint64, parts: int):
-    """Rows for the parts: pairs as the first one and steps, small numbers, which compress."""
-    to = (c // total * np.uint64(parts) // total).astype(np.int32)
-    edge = np.flatnonzero(np.diff(to, prepend=-1, append=parts))
-    for a, b in zip(edge[:-1], edge[1:]):
-        yield pa.RecordBatch.from_arrays([pa.array([int(to[a])], pa.int32()), *[pa.array([_text.as_binary(x)], pa.binary()) for x in _steps(c[a:b])], pa.array([_text.as_binary(np.minimum(n[a:b], 65535).astype(np.uint16))], pa.binary())], ["part", "step", "long", "cnt"])
+def _figures(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Documents with the sums of their rows' sizes, the number of rows, and word orders (of those with one row); then the other entries' documents."""
+    known = np.array([s.is_valid for s in table.column("size")], bool)
+    own = table.filter(pa.array(known))
+    docs, at, rows = np.unique(_arrays(own.column("doc"), np.int64), return_inverse=True, return_counts=True)
+    size = np.bincount(at, _arrays(own.column("size"), np.uint32), len(docs)).astype(np.int64)
+    words = np.zeros((len(docs), 2), np.uint64)
+    words[at] = _arrays(own.column("words"), np.uint64).reshape(-1, 2)
+    rest = table.filter(pa.array(~known))
+    who = np.concatenate([np.empty(0, np.int64), *(_ids(d.as_py(), f.as_py(), np.uint16) for d, f in zip(rest.column("doc"), rest.column("far")))])
+    return docs, size, rows, words, rest, np.searchsorted(docs, who)
 
 
-def _prefix_pairs(docs: _Docs, t: float, parts: int):
-    """Per fragment: pairs that share n-grams up to both cuts, and how many; ranges of pairs go to parts."""
+def _survivors(t: float):
+    """Documents that have enough shared n-grams for a partner."""
 
-    def run(batches):
-        total = np.uint64(max(1, len(docs.doc)))
-        for batch in batches:
-            for i in range(batch.num_rows):
-                local, _, _, df, member = _row(batch, i)
-                at = docs.find(local)
-                use = (at >= 0) & (docs.rep[at] == at) if len(docs.doc) else np.zeros(len(local), bool)
-                last = np.where(use, docs.cut[at], -1).astype(np.int8) if len(docs.doc) else np.full(len(local), -1, np.int8)
-                mine = np.flatnonzero(np.repeat(np.searchsorted(EDGES, df).astype(np.int8), df) <= last[member])
-                gram, who = np.searchsorted(np.cumsum(df), mine, "right"), at[member[mine]]
-                order = np.lexsort((docs.size[who], gram)) if len(who) else np.empty(0, np.int64)
-                gram, who = gram[order], who[order]
-                size = docs.size[who]
-                # sorted by size within an n-gram: a document meets those after it that are at most 1/t as large
-                first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.empty(0, np.int64)
-                end = np.repeat(np.append(first[1:], len(gram)), np.diff(np.append(first, len(gram)))) if len(gram) else first
-                wide = np.int64(size.max() + 1) if len(size) else np.int64(1)
-                far = np.searchsorted(gram * wide + size, gram * wide + np.minimum(np.floor(size / t + 1e-9).astype(np.int64), wide - 1), "right")
-                reach = np.minimum(end, far) - np.arange(len(gram)) - 1
-                codes, counts, held, steps = [], [], 0, np.cumsum(reach)
-                a = 0
-                while a < len(gram):
-                    b = max(a + 1, int(np.searchsorted(steps, (steps[a - 1] if a else 0) + BLOCK, "right")))
-                    left = np.repeat(np.arange(a, b), reach[a:b])
-                    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(reach[a:b]) - reach[a:b], reach[a:b])
-                    x, y = who[left], who[right]
-                    del left, right
-                    lo, hi = np.minimum(x, y).astype(np.uint64), np.maximum(x, y).astype(np.uint64)
-                    c, n = np.unique(lo * total + hi, return_counts=True)
-                    codes.append(c)
-                    counts.append(n)
-                    held += len(c)
-                    a = b
-                    if held > 4 * BLOCK:  # sent on as they are: counts of a pair are summed behind the shuffle
-                        yield from _sent_pairs(*_count_codes(codes, counts), total, parts)
-                        codes, counts, held = [], [], 0
-                if codes:
-                    yield from _sent_pairs(*_count_codes(codes, counts), total, parts)
+    def run(table: pa.Table) -> pa.Table:
+        docs, size, rows, words, rest, at = _figures(table)
+        shared = np.bincount(at, _arrays(rest.column("key"), np.uint32), len(docs))
+        keep = (shared > 0) & (shared + _slack(size) >= np.ceil(t * size - 1e-9))
+        return pa.table({"doc_id": docs[keep], "size": size[keep], "n_rows": rows[keep], "w1": words[keep, 0].view(np.int64), "w2": words[keep, 1].view(np.int64)})
 
     return run
 
 
-def _steps(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes as 16-bit steps; a step of 65535 stands for the next of the long ones."""
-    step = np.diff(codes, prepend=np.uint64(0))
-    far = step >= 65535
-    return np.where(far, np.uint64(65535), step).astype(np.uint16), step[far]
+def _memberships(t: float):
+    """The cells of each document: the heads of the n-grams in its prefix."""
 
+    def run(table: pa.Table) -> pa.Table:
+        docs, size, rows, _, rest, at = _figures(table)
+        key, heads = _arrays(rest.column("key"), np.uint32), [np.empty(0, np.int64)]
+        for head, place in zip(rest.column("head"), rest.column("place")):
+            raw = _blob(head)
+            k = 4 + int.from_bytes(raw[:4], "little")
+            names = _ids(raw[4:k], raw[k:], np.uint16)
+            heads.append(names[np.frombuffer(_blob(place), np.uint16 if len(names) < 1 << 16 else np.uint32)])
+        head = np.concatenate(heads)
+        shared = np.bincount(at, minlength=len(docs))
+        prefix = np.minimum(shared, shared - np.ceil(t * size - 1e-9).astype(np.int64) + 1 + _slack(size))
+        prefix = np.where(rows > 1, shared, prefix)  # of several rows the union's size isn't known here
+        order = np.lexsort((key, at))
+        at, key, head = at[order], key[order], head[order]
+        some = prefix > 0
+        cut = np.full(len(docs), -1, np.int64)
+        cut[some] = key[(np.cumsum(shared) - shared + prefix - 1)[some]]
+        keep = key <= cut[at]
+        at, head = at[keep], head[keep]
+        order = np.lexsort((head, at))
+        at, head = at[order], head[order]
+        keep = _first(at) | _first(head)
+        return pa.table({"doc_id": docs[at[keep]], "head": head[keep], "size": size[at[keep]]})
 
-def _codes(step: bytes, long: bytes) -> np.ndarray:
-    s = np.frombuffer(step, np.uint16).astype(np.uint64)
-    s[s == 65535] = np.frombuffer(long, np.uint64)
-    return np.cumsum(s, dtype=np.uint64)
+    return run
 
 
-def _candidates(docs: _Docs, t: float):
-    """Sums the counts of a part's pairs; keeps those whose overlap can still reach the threshold, in blocks."""
+def _cell_rows(n: int, packs: int):
+    """A document's n-grams once for each of its cells, and in a large cell for each two blocks that its own is one of."""
 
-    def run(table: pa.Table) -> pa.Table:
-        total = np.uint64(max(1, len(docs.doc)))
-        c, n = np.empty(0, np.uint64), np.empty(0, np.int64)
-        codes, counts, held = [], [], 0
-        for step, long, cnt in zip(*(table.column(k) for k in ("step", "long", "cnt"))):
-            k = np.frombuffer(cnt.as_py(), np.uint16).astype(np.int64)
-            k[k == 65535] = 1 << 40  # too many to hold: not bounded
-            codes.append(_codes(step.as_py(), long.as_py()))
-            counts.append(k)
-            held += len(k)
-            if held > max(BLOCK, len(c)):  # merged as often as the sum doubles
-                c, n = _count_codes([c, *codes], [n, *counts])
-                codes, counts, held = [], [], 0
-        c, n = _count_codes([c, *codes], [n, *counts])
-        a, b = (c // total).astype(np.int64), (c % total).astype(np.int64)
-        need = np.ceil(t / (1 + t) * (docs.size[a] + docs.size[b]) - 1e-9)
-        # below the lesser cut all common n-grams were counted; beyond it there are at most so many
-        low = np.where(docs.cut[a] == docs.cut[b], np.minimum(docs.rest[a], docs.rest[b]), np.where(docs.cut[a] < docs.cut[b], docs.rest[a], docs.rest[b]))
-        keep = n + low >= need
-        a, b = a[keep], b[keep]
-        edges = range(0, max(1, len(a)), BLOCK)
-        rows = [(int(table.column("part")[0].as_py()), k, a[e : e + BLOCK].astype(np.uint32).tobytes(), b[e : e + BLOCK].astype(np.uint32).tobytes()) for k, e in enumerate(edges)]
-        return pa.table({k: pa.array(v, kind) for (k, kind), v in zip((("part", pa.int32()), ("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary())), zip(*rows))})
+    def run(batches):
+        rows, held = [], 0
+        for part, buf, bounds in _text.slices(batches):
+            h, _, _, offsets = _text.words(buf, bounds)
+            g, at = _text.grams(h, offsets, n)
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+            mixed = _text.mix(ids.view(np.uint64))
+            for i, (copies, heads, blocks) in enumerate(zip(*(part.column(k).to_pylist() for k in ("copies", "heads", "blocks")))):
+                grams, all_heads = np.unique(g[at[i] : at[i + 1]]).tobytes(), np.array(heads, np.int64).tobytes()
+                for head, b in zip(heads, blocks):
+                    own = int(mixed[i]) % b
+                    for other in range(b):
+                        low, high = min(own, other), max(own, other)
+                        code = int(_text.mix(np.array([head], np.int64).view(np.uint64) + np.uint64((low << 20) + high))[0])
+                        grp = code % packs if b == 1 else code >> 2 | 1 << 62
+                        rows.append((grp, head, low, high, int(own == high and low < high), int(ids[i]), copies, all_heads, grams))
+                        held += len(grams)
+                        if held > 4 << 20:
+                            yield _record(rows, CELL_ROWS)
+                            rows, held = [], 0
+        if rows:
+            yield _record(rows, CELL_ROWS)
 
     return run
 
 
-def _overlaps(docs: _Docs, pairs: list[tuple[int, np.ndarray, np.ndarray]]):
-    """Per fragment: the common n-grams of each candidate pair, marked for one document and read off for its partners."""
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                local, _, _, df, member = _row(batch, i)
-                at = docs.find(local)
-                where = np.full(len(docs.doc), -1)
-                where[at[at >= 0]] = np.flatnonzero(at >= 0)
-                order = np.argsort(member, kind="stable")
-                gram = np.repeat(np.arange(len(df)), df)[order]
-                ends = np.cumsum(np.bincount(member, minlength=len(local)))
-                starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-                mark = np.zeros(len(df), np.uint8)
-                for block, a, b in pairs:
-                    out = np.zeros(len(a), np.uint32)
-                    la, lb = where[a], where[b]
-                    both = np.flatnonzero((la >= 0) & (lb >= 0))
-                    both = both[np.argsort(la[both], kind="stable")]
-                    edge = np.flatnonzero(np.diff(la[both], prepend=-1, append=-2)) if len(both) else []
-                    for x, y in zip(edge[:-1], edge[1:]):
-                        own = gram[starts[la[both[x]]] : ends[la[both[x]]]]
-                        if not len(own):
-                            continue
-                        mark[own] = 1
-                        for z in range(x, y, 4096):
-                            who = lb[both[z : min(y, z + 4096)]]
-                            n = ends[who] - starts[who]
-                            total = np.concatenate(([0], np.cumsum(n)))
-                            index = np.arange(total[-1]) + np.repeat(starts[who] - total[:-1], n)
-                            sums = np.concatenate(([0], np.cumsum(mark[gram[index]], dtype=np.int64)))
-                            out[both[z : z + len(who)]] = sums[total[1:]] - sums[total[:-1]]
-                        mark[own] = 0
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out.astype(np.uint16 if not len(out) or out.max() < 65536 else np.uint32).tobytes()], pa.binary())], ["block", "counts"])
+def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least one that the edges (a, b) join it to."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        new = new[label]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+class _Cells:
+    """The documents of some cells and their n-grams, in the order of cells, n-grams and documents."""
+
+    def __init__(self, table: pa.Table, t: float):
+        get = lambda k: table.column(k).to_numpy()
+        where = np.stack([get(k).astype(np.int64) for k in ("head", "low", "high")])
+        order = np.lexsort((get("doc_id"), *where[::-1]))
+        where, doc = where[:, order], get("doc_id")[order]
+        new_cell = np.ones(len(doc), bool)
+        new_cell[1:] = (where[:, 1:] != where[:, :-1]).any(0)
+        new = new_cell | _first(doc)
+        row_cell, row_slot = np.cumsum(new_cell) - 1, np.cumsum(new) - 1
+        self.t, self.doc, self.cell, self.head = t, doc[new], row_cell[new], where[0][new]
+        self.side, self.copies = get("side")[order][new], get("copies")[order][new]
+        self.crossing = (where[1] < where[2])[new_cell]  # of two blocks, each of whose own pairs count elsewhere
+        self.heads = [np.frombuffer(_blob(table.column("heads")[int(i)]), np.int64) for i in order[new]]
+        column = table.column("grams")
+        sets = [np.frombuffer(_blob(column[int(i)]), np.uint64) for i in order]
+        slot, gram = np.repeat(row_slot, [len(s) for s in sets]), np.concatenate([np.empty(0, np.uint64), *sets])
+        if not new.all():  # a document of several rows has the n-grams of all
+            order = np.lexsort((gram, slot))
+            slot, gram = slot[order], gram[order]
+            keep = _first(slot) | _first(gram)
+            slot, gram = slot[keep], gram[keep]
+        self.size = np.bincount(slot, minlength=len(self.doc))
+        order = np.lexsort((gram, self.cell[slot]))  # stable, so by document within an n-gram
+        self.slot, gram = slot[order], gram[order]
+        self.first = np.cumsum(np.bincount(self.cell)) - np.bincount(self.cell) if len(self.doc) else np.empty(0, np.int64)
+        start = np.flatnonzero(_first(self.cell[self.slot]) | _first(gram))
+        n = np.diff(np.append(start, len(gram)))
+        self.start, self.n = start[n > 1], n[n > 1]
+        self.run_cell = self.cell[self.slot[self.start]]
+
+    def pairs(self):
+        """(slots a, slots b, overlaps) of all pairs that count here, in parts."""
+        docs = np.bincount(self.cell)
+        small = np.flatnonzero(docs <= SMALL)
+        if len(small):
+            yield self._side_by_side(small, docs)
+        for c in np.flatnonzero(docs > SMALL):
+            yield self._alone(int(c), int(docs[c]))
+
+    def _needed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.maximum(np.ceil(self.t / (1 + self.t) * (self.size[a] + self.size[b]) - 1e-9), 1)
+
+    def _two_of(self, start: np.ndarray, n: np.ndarray):
+        """The pairs of each run of documents with an n-gram, by their distance in the run."""
+        for d in range(1, int(n.max(initial=1))):
+            start, n = start[n > d], n[n > d]
+            at = np.repeat(start - np.cumsum(n - d) + n - d, n - d) + np.arange(int((n - d).sum()))
+            yield self.slot[at], self.slot[at + d]
+
+    def _side_by_side(self, cells: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        room = np.zeros(len(docs) + 1, np.int64)
+        room[cells + 1] = docs[cells] ** 2
+        room = np.cumsum(room)
+        use = docs[self.run_cell] <= SMALL
+        count = np.zeros(room[-1], np.int64)
+        for a, b in self._two_of(self.start[use], self.n[use]):
+            c = self.cell[a]
+            count += np.bincount(room[c] + (a - self.first[c]) * docs[c] + b - self.first[c], minlength=len(count))
+        at = np.flatnonzero(count)
+        c = np.searchsorted(room, at, "right") - 1
+        a, b = (at - room[c]) // docs[c] + self.first[c], (at - room[c]) % docs[c] + self.first[c]
+        keep = count[at] >= self._needed(a, b)
+        keep &= (self.side[a] != self.side[b]) | ~self.crossing[c]
+        a, b, n = a[keep], b[keep], count[at][keep]
+        new = np.array([not self._earlier(x, y) for x, y in zip(a.tolist(), b.tolist())], bool)
+        return a[new], b[new], n[new]
+
+    def _earlier(self, a: int, b: int) -> bool:
+        x, y, head = self.heads[a], self.heads[b], self.head[a]
+        return x[0] < head and y[0] < head and bool(set(x[x < head].tolist()) & set(y[y < head].tolist()))
+
+    def _alone(self, c: int, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = np.arange(self.first[c], self.first[c] + docs)
+        crossing = bool(self.crossing[c])
+        left, right = (own[self.side[own] == 0], own[self.side[own] == 1]) if crossing else (own, own)
+        row, col = np.full(len(self.doc), -1), np.full(len(self.doc), -1)
+        row[left], col[right] = np.arange(len(left)), np.arange(len(right))
+        count = np.zeros(len(left) * len(right), np.float32)
+        use = self.run_cell == c
+        start, n = self.start[use], self.n[use]
+        few = n <= max(16, docs // 16)
+        codes, held = [], 0
+
+        def add():
+            np.add(count, np.bincount(np.concatenate(codes), minlength=len(count)), out=count, casting="unsafe")
+
+        for a, b in self._two_of(start[few], n[few]):
+            if crossing:
+                mixed = self.side[a] != self.side[b]
+                a, b = a[mixed], b[mixed]
+                a, b = np.where(self.side[a] == 0, a, b), np.where(self.side[a] == 0, b, a)
+            codes.append(row[a] * len(right) + col[b])
+            held += len(a)
+            if held > 1 << 21:
+                add()
+                codes, held = [], 0
+        if codes:
+            add()
+        count = count.reshape(len(left), len(right))
+        start, n = start[~few], n[~few]
+        for k in range(0, len(n), COLUMNS):  # one fragment of the order after the other
+            s, m = start[k : k + COLUMNS], n[k : k + COLUMNS]
+            which = np.repeat(np.arange(len(m)), m)
+            who = self.slot[np.repeat(s - np.cumsum(m) + m, m) + np.arange(len(which))]
+            count += self._product(row[who], col[who], which, len(left), len(right), len(m))
+        keep = count >= self._needed(left[:, None], right[None, :])
+        if not crossing:
+            keep = np.triu(keep, 1)
+        lesser = [x[x < self.head[own[0]]] for x in (self.heads[int(i)] for i in own)]
+        heads, at = np.unique(np.concatenate(lesser), return_inverse=True)
+        who = np.repeat(own, [len(x) for x in lesser])
+        for k in range(0, len(heads), COLUMNS):
+            some = (at >= k) & (at < k + COLUMNS)
+            keep &= self._product(row[who[some]], col[who[some]], at[some] - k, len(left), len(right), min(COLUMNS, len(heads) - k)) == 0
+        x, y = np.nonzero(keep)
+        return left[x], right[y], count[x, y].astype(np.int64)
+
+    def _product(self, row: np.ndarray, col: np.ndarray, which: np.ndarray, n: int, m: int, wide: int) -> np.ndarray:
+        x, y = np.zeros((n, wide), np.float32), np.zeros((m, wide), np.float32)
+        x[row[row >= 0], which[row >= 0]] = 1
+        y[col[col >= 0], which[col >= 0]] = 1
+        return x @ y.T
+
+
+def _pair_rows(t: float):
+    def run(table: pa.Table) -> pa.Table:
+        cells, out = _Cells(table, t), []
+        for a, b, n in cells.pairs():
+            x, y = cells.doc[a], cells.doc[b]
+            out.append(pa.table({"doc_a": np.minimum(x, y), "doc_b": np.maximum(x, y), "overlap": n, "jaccard": n / (cells.size[a] + cells.size[b] - n)}))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _verified(docs: _Docs, pairs: list[tuple[int, np.ndarray, np.ndarray]], t: float):
-    by = {block: (a, b) for block, a, b in pairs}
+def _link_rows(t: float):
+    """For each document how many documents its pairs here link it to, and the least document of those they join it to."""
 
     def run(table: pa.Table) -> pa.Table:
-        a, b = by[table.column("block")[0].as_py()]
-        overlap = np.zeros(len(a), np.int64)
-        for x in table.column("counts"):
-            raw = x.as_py()
-            overlap += np.frombuffer(raw, np.uint16 if len(raw) == 2 * len(a) else np.uint32)
-        # n-grams of one document only are in no posting, so an overlap is complete; identical sets that have some are too
-        union = docs.size[a] + docs.size[b] - overlap
-        sim = overlap / np.maximum(union, 1)
-        keep = sim >= t - 1e-12
-        return pa.table({"doc_a": docs.doc[a[keep]], "doc_b": docs.doc[b[keep]], "overlap": overlap[keep], "jaccard": sim[keep]})
+        cells, out = _Cells(table, t), []
+        for a, b, _ in cells.pairs():
+            docs, at = np.unique(np.concatenate((cells.doc[a], cells.doc[b])), return_inverse=True)
+            x, y = at[: len(a)], at[len(a) :]
+            links = np.bincount(x, cells.copies[b], len(docs)) + np.bincount(y, cells.copies[a], len(docs))
+            out.append(pa.table({"doc_id": docs, "links": links.astype(np.int64), "root": docs[components(len(docs), x, y)]}))
+        return pa.concat_tables(out)
 
     return run
 
 
-def similar_sets(docs: DataFrame, t: float = 0.5, n: int = 3, send_limit: int = SEND_LIMIT) -> DataFrame:
-    """Pairs with similarity t or more among documents with different n-grams, and each copy with its first.
+def _sent(df: DataFrame, width: int, send_limit: int) -> DataFrame:
+    """To be broadcast if its rows, of `width` bytes, may be; else it is shuffled."""
+    return F.broadcast(df) if df.count() * width <= send_limit else df
 
-    Copies (documents with the very same n-grams) appear once, beside the least doc_id among them: that is all that
-    groups need. pairs() gives every pair. Work in and behind the shuffle follows the n-grams that are shared.
-    """
+
+def _joined(docs: DataFrame, t: float, n: int, send_limit: int, rows, schema: str) -> tuple[DataFrame, DataFrame, Scratch]:
+    """Documents that may have partners with the first of their class and its copies; what the cells give."""
     if not 0 < t <= 1:
         raise ValueError("the threshold lies in (0, 1]")
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram-join")
-    count = fragments(docs, 6 << 20)
+    scratch = Scratch(docs.sparkSession, "ngram-join")
     texts = docs.select("doc_id", F.lower("text").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    postings = scratch.keep(texts.mapInArrow(_to_fragments(n, count), BLOB).repartition(count, "frag").groupBy("frag").applyInArrow(_postings, POSTINGS), "postings")
-    parts = max(4, count // 2)
-    found = scratch.keep(postings.mapInArrow(_histograms(parts), "part int, doc binary, size binary, sig binary, hist binary").groupBy("part").applyInArrow(_survivors(t), "doc_id bigint, size bigint, sig bigint, cut int, rest bigint"), "survivors")
-    if found.count() * 36 > send_limit:
-        return _by_rows(postings, found, t)
-    known = _Docs(found.toArrow())
-    sent = spark.sparkContext.broadcast(known)
-
-    def with_docs(make, *more):
-        return lambda x: make(sent.value, *more)(x)
-
-    def with_blocks(make, box, *more):
-        return lambda x: make(sent.value, box.value, *more)(x)
-
-    pairs = scratch.keep(postings.mapInArrow(with_docs(_prefix_pairs, t, parts), "part int, step binary, long binary, cnt binary").groupBy("part").applyInArrow(with_docs(_candidates, t), "part int, block int, a binary, b binary"), "candidates")
-    copies = np.flatnonzero(known.rep != np.arange(len(known.rep)))
-    groups = [[(0, known.rep[copies], copies)]]  # copies are verified like all others
-    room = 0
-    index = pairs.select("part", "block", F.length("a").alias("bytes")).orderBy("part", "block").collect()
-    chosen: list[list[tuple[int, int]]] = []
-    for r in index:  # as many blocks at once as may be sent
-        if not chosen or room + 2 * r.bytes > send_limit:
-            chosen.append([])
-            room = 0
-        chosen[-1].append((r.part, r.block))
-        room += 2 * r.bytes
-    out = None
-    for k in range(max(1, len(chosen))):
-        blocks = groups[k] if k < len(groups) else []
-        if k < len(chosen):
-            want = F.lit(False)
-            for part in sorted({p for p, _ in chosen[k]}):
-                want = want | ((F.col("part") == part) & F.col("block").isin([b for p, b in chosen[k] if p == part]))
-            for r in pairs.where(want).toLocalIterator():
-                blocks.append((len(blocks) + 1, np.frombuffer(bytes(r.a), np.uint32).astype(np.int64), np.frombuffer(bytes(r.b), np.uint32).astype(np.int64)))
-        blocks = [b for b in blocks if len(b[1])]
-        if not blocks:
-            continue
-        box = spark.sparkContext.broadcast(blocks)
-        one = (
-            postings.mapInArrow(with_blocks(_overlaps, box), "block int, counts binary")
-            .groupBy("block")
-            .applyInArrow(with_blocks(_verified, box, t), PAIRS)
-        )
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], PAIRS)
-
-
-def _by_rows(postings: DataFrame, found: DataFrame, t: float) -> DataFrame:
-    """The same by joins of rows, for more survivors than may be sent to every executor."""
-
-    def rows(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                docs, _, _, df, member = _row(batch, i)
-                gram = np.repeat(np.arange(len(df)), df)
-                frag = np.full(len(gram), batch.column("frag")[i].as_py(), np.int32)
-                for a in range(0, len(gram), 1 << 18):
-                    b = a + (1 << 18)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (frag[a:b], gram[a:b].astype(np.int32), docs[member[a:b]], np.searchsorted(EDGES, df)[gram[a:b]].astype(np.int32))], ["frag", "gram", "doc_id", "kind"])
-
-    rep = found.groupBy("size", "sig").agg(F.min("doc_id").alias("rep"))
-    known = found.join(rep, ["size", "sig"])
-    copies = known.where("rep < doc_id").selectExpr("rep AS doc_a", "doc_id AS doc_b", "size AS overlap", "1.0D AS jaccard")
-    have = postings.mapInArrow(rows, "frag int, gram int, doc_id bigint, kind int").join(known.where("rep = doc_id").drop("rep", "sig"), "doc_id")
-    first = have.where("kind <= cut").select("frag", "gram", "doc_id", "size")
-    a, b = (first.select("frag", "gram", F.col("doc_id").alias(f"doc_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
-    fits = (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * t - 1e-9) & (F.col("doc_a") < F.col("doc_b"))
-    pairs = a.join(b, ["frag", "gram"]).where(fits).select("doc_a", "doc_b", "size_a", "size_b").distinct()
-    left, right = (have.select("frag", "gram", F.col("doc_id").alias(f"doc_{k}")) for k in "ab")
-    counted = pairs.join(left, "doc_a").join(right, ["doc_b", "frag", "gram"]).groupBy("doc_a", "doc_b", "size_a", "size_b").agg(F.count("*").alias("overlap"))
-    sim = counted.withColumn("jaccard", F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap")))
-    return sim.where(F.col("jaccard") >= t - 1e-12).select("doc_a", "doc_b", "overlap", "jaccard").unionByName(copies)
-
-
-def pairs(docs: DataFrame, t: float = 0.5, n: int = 3, send_limit: int = SEND_LIMIT) -> DataFrame:
-    """All pairs doc_a < doc_b whose sets of word n-grams have Jaccard similarity t or more, with overlap and similarity.
-
-    As long as the answer itself: a group of m copies has m (m - 1) / 2 pairs. similar_sets() is the short form.
+    count = fragments(docs, 6 << 20)
+    parts = max(4, count // 4)
+
+    def summed(source, count, parts, each, all_of, schema):
+        sent = source.mapInArrow(_entries(n, count, parts), ENTRIES).repartition(count, "frag").groupBy("frag").applyInArrow(each(count, parts), FIGURES)
+        return sent.repartition(parts, "part").groupBy("part").applyInArrow(all_of(t), schema)
+
+    found = scratch.keep(summed(texts, count, parts, _shared, _survivors, "doc_id bigint, size bigint, n_rows bigint, w1 bigint, w2 bigint"), "survivors")
+    classes = found.where("n_rows = 1").groupBy("w1", "w2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.lit(1).cast("bigint").alias("n_rows")).where("copies > 1")
+    members = found.join(classes, ["w1", "w2", "size", "n_rows"], "left")
+    members = scratch.keep(members.select("doc_id", "size", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "members")
+    firsts = members.where("rep = doc_id")
+    held = firsts.agg(F.sum("size")).first()[0] or 0
+    count = max(4, min(1 << 17, -(-held // FRAGMENT)))
+    of_firsts = texts.join(_sent(firsts.select("doc_id", "copies"), 48, send_limit), "doc_id")
+    cells = scratch.keep(summed(of_firsts.select("doc_id", "text"), count, count, _headed, _memberships, "doc_id bigint, head bigint, size bigint"), "cells")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("size") / BLOCK_GRAMS)).cast("int")
+    wide = scratch.keep(cells.groupBy("head").agg(blocks.alias("blocks"), F.count("*").alias("n"), F.sum("size").alias("grams")).where("n > 1"), "wide")
+    packs = max(4, -(-(wide.agg(F.sum("grams")).first()[0] or 0) // FRAGMENT))
+    own = cells.join(_sent(wide.select("head", "blocks"), 40, send_limit), "head").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("head", "blocks"))).alias("own"))
+    own = scratch.keep(own.selectExpr("doc_id", "own.head AS heads", "own.blocks AS blocks"), "own")
+    size = own.agg(F.sum(F.size("heads") * 16 + 64)).first()[0] or 0
+    in_cells = of_firsts.join(F.broadcast(own) if size <= send_limit else own, "doc_id").select("doc_id", "text", "copies", "heads", "blocks")
+    return members, in_cells.mapInArrow(_cell_rows(n, packs), CELL_ROWS).repartition(packs, "grp").groupBy("grp").applyInArrow(rows(t), schema), scratch
+
+
+def pairs(docs: DataFrame, t: float = 0.5, n: int = 3, send_limit: int = SEND_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """The pairs with similarity t or more between the first documents of classes; and (doc_id, rep) of all that aren't the first."""
+    members, found, _ = _joined(docs, t, n, send_limit, _pair_rows, PAIRS)
+    return found, members.where("rep <> doc_id").select("doc_id", "rep")
+
+
+def links(docs: DataFrame, t: float = 0.5, n: int = 3, send_limit: int = SEND_LIMIT) -> DataFrame:
+    """One row for each document with a partner: doc_id, class_id, n_links.
+
+    n_links: how many documents have similarity t or more with it, each copy counted; class_id: the least doc_id that a
+    chain of such documents joins it to. Documents without a partner have no row.
     """
-    scratch = Scratch(docs.sparkSession, "ngram-pairs")
-    short = scratch.keep(similar_sets(docs, t, n, send_limit), "short")
-    same = F.col("jaccard") >= 1
-    copies = short.where(same).select(F.col("doc_a").alias("rep"), F.col("doc_b").alias("doc"), F.col("overlap").alias("size"))
-    members = copies.select("rep", "doc").unionByName(copies.select("rep", F.col("rep").alias("doc")).distinct())
-    # as long as all copies may be sent, no pair is shuffled; beyond that the joins are
-    send = F.broadcast if copies.count() * 48 <= send_limit else lambda side: side
-    spread = members.repartition("doc")  # copies stand in one block, and so in one file
-    within = spread.alias("x").join(send(copies).alias("y"), F.col("x.rep") == F.col("y.rep")).where("x.doc < y.doc").selectExpr("x.doc AS doc_a", "y.doc AS doc_b", "y.size AS overlap", "1.0D AS jaccard")
-    across = short.where(~same)
-    for k in "ab":
-        side = members.select(F.col("rep").alias(f"doc_{k}"), F.col("doc").alias(f"new_{k}"))
-        across = across.join(send(side), f"doc_{k}", "left").withColumn(f"doc_{k}", F.coalesce(f"new_{k}", f"doc_{k}"))
-    across = across.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "overlap", "jaccard")
-    return within.unionByName(across)
+    members, found, scratch = _joined(docs, t, n, send_limit, _link_rows, LINKS)
+    found = scratch.keep(found, "links")
+    label = groups(found.selectExpr("root AS doc_a", "doc_id AS doc_b"), send_limit)
+    firsts = found.groupBy("doc_id").agg(F.sum("links").alias("links")).join(label, "doc_id").selectExpr("doc_id AS rep", "group_id", "links")
+    out = members.join(_sent(scratch.keep(firsts, "firsts"), 48, send_limit), "rep", "left")
+    out = out.select("doc_id", F.coalesce("group_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return out.where("n_links > 0")
 
 
 def groups(edges: DataFrame, send_limit: int = SEND_LIMIT) -> DataFrame:
@@ -461,17 +527,7 @@ def groups(edges: DataFrame, send_limit: int = SEND_LIMIT) -> DataFrame:
         t = e.toArrow()
         ids, inv = np.unique(np.concatenate([t.column(k).to_numpy() for k in ("doc_a", "doc_b")]).astype(np.int64), return_inverse=True)
         a, b = np.split(inv, 2)
-        label = np.arange(len(ids))
-        while len(a):
-            low = np.minimum(label[a], label[b])
-            new = label.copy()
-            np.minimum.at(new, label[a], low)
-            np.minimum.at(new, label[b], low)
-            new = new[new]
-            new = new[label]
-            if (new == label).all():
-                break
-            label = new
+        label = components(len(ids), a, b)
         return spark.createDataFrame(pa.table({"doc_id": ids, "group_id": ids[label]}), "doc_id bigint, group_id bigint")
     # stars: every document links to the least of its neighbours until nothing changes
     e = e.select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).distinct()
@@ -488,14 +544,16 @@ def groups(edges: DataFrame, send_limit: int = SEND_LIMIT) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return links(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-ORACLE_PAIRS = rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{_text.WORD_PATTERN}') AS w FROM documents),
+ORACLE = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '{_text.WORD_PATTERN}') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
   ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS gram FROM w),
 s AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
-o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS overlap FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, overlap, overlap / (x.size + y.size - overlap) AS jaccard
-FROM o JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b WHERE overlap / (x.size + y.size - overlap) >= 0.5"""
+o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS overlap FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+p AS MATERIALIZED (SELECT doc_a, doc_b FROM o JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b WHERE overlap / (x.size + y.size - overlap) >= 0.5),
+reach AS (SELECT doc_a AS doc, doc_a AS other FROM p UNION SELECT reach.doc, p.doc_b FROM reach JOIN p ON reach.other = p.doc_a),
+c AS (SELECT doc, min(other) AS class_id FROM reach GROUP BY doc)
+SELECT doc_a AS doc_id, min(class_id) AS class_id, count(*) AS n_links FROM p JOIN c ON c.doc = doc_a GROUP BY doc_a"""

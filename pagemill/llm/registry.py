@@ -27,5 +27,5 @@ def oracle_sql():
     return {
         "op3_chat_formatting": chat.ORACLE,
         "op7_bucket_packing": packing.oracle(),
-        "op10_ngram_jaccard_join": ngram_join.ORACLE_PAIRS,
+        "op10_ngram_jaccard_join": ngram_join.ORACLE,
     }

@@ -56,29 +56,66 @@ def near(spark):
     return rows, docs(spark, rows)
 
 
+def components(edges):
+    out = {}
+    for a, b in edges:
+        group = (out.get(a) or {a}) | (out.get(b) or {b})
+        for x in group:
+            out[x] = group
+    return {x: min(g) for x, g in out.items()}
+
+
+@pytest.fixture(params=[{}, {"BLOCK_DOCS": 2, "FRAGMENT": 50}], ids=["as it is", "small blocks"])
+def sizes(request, monkeypatch):
+    for name, value in request.param.items():
+        monkeypatch.setattr(ngram_join, name, value)
+
+
 @pytest.mark.parametrize("t", [0.5, 0.8, 1.0])
 @pytest.mark.parametrize("limit", [1 << 26, 0])
-def test_join_matches_brute_force(near, t, limit):
+def test_join_matches_brute_force(near, sizes, t, limit):
     rows, df = near
-    got = [tuple(r) for r in ngram_join.pairs(df, t, send_limit=limit).collect()]
-    assert {(a, b): n for a, b, n, _ in got} == brute_pairs(rows, t) and len(got) == len({g[:2] for g in got})
+    found, copies = ngram_join.pairs(df, t, send_limit=limit)
+    of = {}
+    for r in copies.collect():
+        of.setdefault(r.rep, []).append(r.doc_id)
+    got = [tuple(r)[:3] for r in found.collect()]
+    assert len(got) == len({g[:2] for g in got})
+    want = brute_pairs(rows, t)
+    spread = {(min(x, y), max(x, y)): n for a, b, n in got for x in [a, *of.get(a, [])] for y in [b, *of.get(b, [])]}
+    within = {(min(x, y), max(x, y)) for a, more in of.items() for x in [a, *more] for y in [a, *more] if x != y}
+    assert not within & set(spread) and spread | {p: want[p] for p in within} == want
 
 
 @pytest.mark.parametrize("limit", [1 << 26, 0])
-def test_groups_are_components(spark, near, limit):
+def test_links_are_components_and_degrees(near, sizes, limit):
     rows, df = near
-    want = {}
-    for a, b in brute_pairs(rows, 0.5):
-        group = (want.get(a) or {a}) | (want.get(b) or {b})
-        for x in group:
-            want[x] = group
-    got = {r.doc_id: r.group_id for r in ngram_join.groups(ngram_join.similar_sets(df), limit).collect()}
-    assert got == {x: min(g) for x, g in want.items()}
+    want = brute_pairs(rows, 0.5)
+    degree = {}
+    for p in want:
+        for x in p:
+            degree[x] = degree.get(x, 0) + 1
+    label = components(want)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.links(df, send_limit=limit).collect()}
+    assert got == {x: (label[x], degree[x]) for x in degree}
+
+
+@pytest.mark.parametrize("block", [40, 90, 2048])
+def test_large_cells_meet_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)  # 90 and 2048: counted by matrices, in blocks and alone
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(60)]
+    rows = [(k, " ".join(w if rng.random() > 0.04 else f"x{rng.randrange(99)}" for w in base), None) for k in range(150)]
+    rows += [(200 + k, rows[k % 3][1], None) for k in range(9)]
+    want = brute_pairs(rows, 0.5)
+    got = {r.doc_id: r.n_links for r in ngram_join.links(docs(spark, rows)).collect()}
+    assert got == {x: sum(x in p for p in want) for x in {d for p in want for d in p}}
 
 
 def test_join_of_nothing(spark):
-    assert ngram_join.pairs(docs(spark, [])).count() == 0
-    assert ngram_join.pairs(docs(spark, [(1, None, None), (2, "a b c d", None)])).count() == 0
+    assert ngram_join.links(docs(spark, [])).count() == 0
+    assert ngram_join.links(docs(spark, [(1, None, None), (2, "a b c d", None)])).count() == 0
+    assert ngram_join.pairs(docs(spark, [(-5, "a b", None), (7, "a b", None), (None, "a b", None)]))[1].collect() == [(7, -5)]
 
 
 def item(rng, n):
