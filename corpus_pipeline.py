@@ -27,8 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that n-gram Jaccard pairs connect the document with the least doc_id stays; rows that share a doc_id stay or go together."""
-    linked = ngram_join.groups(ngram_join.similar_sets(docs))
-    extra = Scratch(spark, "near-duplicates").keep(linked.where("doc_id <> group_id").select("doc_id"), "extra")
+    extra = Scratch(spark, "near-duplicates").keep(ngram_join.links(docs).where("doc_id <> class_id").select("doc_id"), "extra")
     if extra.count() * 48 <= SEND_LIMIT:  # so long as their ids may be sent, no text is shuffled
         extra = F.broadcast(extra)
     return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
