@@ -10,6 +10,7 @@ from . import chat, decontaminate, html_text, language_id, lm_scoring, neighbour
 def queries():
     return {
         "op1_vptree_neighbours": neighbours.op1_vptree_neighbours,
+        "op1_vptree_neighbours_exact": neighbours.op1_vptree_neighbours_exact,
         "op2_masked_lm_scoring": lm_scoring.op2_masked_lm_scoring,
         "op3_chat_formatting": chat.op3_chat_formatting,
         "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
@@ -25,6 +26,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_vptree_neighbours_exact": neighbours.ORACLE_EXACT,
         "op3_chat_formatting": chat.ORACLE,
         "op7_bucket_packing": packing.oracle(),
         "op10_ngram_jaccard_join": ngram_join.ORACLE,

@@ -46,5 +46,16 @@ def test_odd_rows(spark):
     assert got == {1: [3, 2], 2: [3, 1], 3: [1, 2]}
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_many_equal_vectors(spark, limit):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 4))
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute(x, np.arange(len(x)), 6)
+    assert found(neighbours.nearest(df, 6, 1.0, 30, send_limit=limit)) == want
+    assert found(neighbours.nearest(df, 6, 1.0, 30, every=20)) == {i: v for i, v in want.items() if i % 20 == 0}
+
+
 def test_empty(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
