@@ -41,6 +41,7 @@ class EngineConfig:
     max_reflect_cycles: int = 2
     ocr_language: str = "english"
     ocr_model_dir: str | None = None
+    ocr_model_url: str | None = None
     dpi: float = 300
     enable_crop: bool = True
     padding_size: int = 10

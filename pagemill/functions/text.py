@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 #: White space as Unicode has it; SQL's trim takes blanks only.
 _SPACES = (("0009", "000d"), ("001c", "0020"), ("0085", ""), ("00a0", ""), ("1680", ""), ("2000", "200a"), ("2028", "2029"), ("202f", ""), ("205f", ""), ("3000", ""))
-SPACE = "[" + "".join(rf"\u{a}" + (rf"-\u{b}" if b else "") for a, b in _SPACES) + "]"
+SPACES = "".join(chr(c) for a, b in _SPACES for c in range(int(a, 16), int(b or a, 16) + 1))
 SPACE_RE2 = "[" + "".join(rf"\x{{{a}}}" + (rf"-\x{{{b}}}" if b else "") for a, b in _SPACES) + "]"
 TAGGED = r"(?s)<transcription>(.*?)</transcription>"
 SYSTEM_PROMPT = """You turn the image of a page into Markdown.
@@ -35,7 +35,7 @@ NO_ISSUES = "- General repair of the structure"
 
 def strip(text: Column | str) -> Column:
     """Without white space at both ends, Unicode's included."""
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(F.col(text) if isinstance(text, str) else text, F.lit(SPACES))
 
 
 def extract_transcription(reply: Column | str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..shared import stored
 
 
 def gray(b: Column, g: Column, r: Column) -> Column:
@@ -130,7 +131,7 @@ def cut(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def crop_box(pixels: DataFrame, dims: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """img, top, bottom, left, right of both passes together, in places of the whole image."""
-    one = first_pass(pixels, dims, config)
+    one = stored(first_pass(pixels, dims, config), "crop-first")  # a row for each image, which the second pass reads several times
     inner = one.where("cropped AND bottom > top AND right > left")
     part = cut(pixels, inner.select("img", "top", "bottom", "left", "right"))
     sizes = inner.select("img", (F.col("bottom") - F.col("top")).alias("h"), (F.col("right") - F.col("left")).alias("w"))

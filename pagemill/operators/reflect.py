@@ -51,18 +51,37 @@ def unrolled(pages: DataFrame, generate: Callable[[], Column], critic: Callable[
     return df.drop("judged", "active")
 
 
+#: Errors of the program or of its data, and those of a client that has tried often enough, are not tried again.
+_FINAL = (ArithmeticError, ImportError, LookupError, NameError, RuntimeError, SyntaxError, TypeError, ValueError, FileNotFoundError, PermissionError)
+NODE_ATTEMPTS, NODE_WAIT = 3, 2.0
+
+
+def attempted(node: Callable, sleep: Callable[[float], None]):
+    """A step of the loop, tried again as a whole after 2 and 4 seconds when what failed may pass, such as a connection."""
+    for attempt in range(NODE_ATTEMPTS):
+        try:
+            return node()
+        except _FINAL:
+            raise
+        except Exception:
+            if attempt == NODE_ATTEMPTS - 1:
+                raise
+            sleep(NODE_WAIT * 2**attempt)
+
+
 def reflect(client: Client, image_b64: str, mime: str, system_prompt: str | None, max_cycles: int) -> dict:
     """One page's loop against a model; returns its final state."""
     def text_of(user: str) -> str:
-        reply = client.invoke(image_b64, mime, system_prompt=system_prompt or X.SYSTEM_PROMPT, user_prompt=user)
-        raw = (reply.get("content") or "").strip()
+        reply = attempted(lambda: client.invoke(image_b64, mime, system_prompt=system_prompt or X.SYSTEM_PROMPT, user_prompt=user), client.sleep)
+        raw = ((reply or {}).get("content") or "").strip()
         return python_transcription(raw) or raw
 
     said = text_of(X.USER_PROMPT)
     state = {"accumulated_text": said, "iteration_count": 1, "generation_history": [said], "critic_score": 0, "critic_issues": [], "reflect_iteration": 0}
     while True:
-        reply = client.invoke(image_b64, mime, system_prompt=X.CRITIC_PROMPT, user_prompt=f"The text to judge:```\n{state['accumulated_text']}\n```", schema="critic", temperature=0.1)
-        judged = check_critic(reply.get("parsed"))
+        asked = f"The text to judge:```\n{state['accumulated_text']}\n```"
+        reply = attempted(lambda: client.invoke(image_b64, mime, system_prompt=X.CRITIC_PROMPT, user_prompt=asked, schema="critic", temperature=0.1), client.sleep)
+        judged = check_critic((reply or {}).get("parsed"))
         state |= {"critic_score": judged["score"], "critic_issues": judged["issues"]} if judged else {"critic_score": 0, "critic_issues": []}
         if not judged or judged["score"] >= 9 or not judged["issues"] or state["reflect_iteration"] >= max_cycles:
             return state

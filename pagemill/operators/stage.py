@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,28 @@ def call_once(client: Client, image: np.ndarray, config: EngineConfig, schema) -
     return python_transcription(((reply or {}).get("content") or "").strip())
 
 
-def run_stage(images: DataFrame, mode: ParsingMode, config: EngineConfig, transport=None, build_recognizer: Callable[[], rec.Recognizer] | None = None, schema=None, from_pdf: bool = False) -> DataFrame:
-    """Adds content, error and what the loop tells to rows that have an `image`, which goes."""
+def _keep_debug(image: np.ndarray, config: EngineConfig, prefix: str, row: dict) -> None:
+    """What goes on to recognition, as a PNG in the debug folder, where one is set."""
+    if config.debug_dir:
+        folder = Path(config.debug_dir)
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{Path(row.get('path') or 'image').stem}_{prefix}_p{row.get('page_number') or 0}_0.png").write_bytes(kernels.encode_png(image))
+
+
+def run_stage(images: DataFrame, mode: ParsingMode, config: EngineConfig, transport=None, build_recognizer: Callable[[], rec.Recognizer] | None = None, schema=None, from_pdf: bool = False, progress: list | None = None) -> DataFrame:
+    """Adds content, error and what the loop tells to rows that have an `image`, which goes.
+
+    progress: a list that gets the accumulator of finished pages in place of its first element.
+    """
     spark = images.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if mode == ParsingMode.BASIC_OCR:
+        build_recognizer = build_recognizer or rec.default_builder(config)
+        key, at_once = rec.session_key(config, build_recognizer), config.max_concurrency
+    else:  # the model's server is called for so many pages at once, however many executors there are
+        images, key, at_once = images.coalesce(max(1, config.max_concurrency)), "", 1
+    done_pages = spark.sparkContext.accumulator(0) if progress else None
     rest = [f for f in images.schema if f.name not in ("image", "error")]
 
     def one(row: dict) -> dict:
@@ -55,9 +73,11 @@ def run_stage(images: DataFrame, mode: ParsingMode, config: EngineConfig, transp
             if mode == ParsingMode.BASIC_OCR:
                 if not from_pdf or config.preprocess_pdf_ocr:  # pages of documents are recognised as they are
                     image = kernels.preprocess_for_ocr(image, config)
-                out["content"] = rec.assemble(rec.session(config.ocr_language, build_recognizer)(image))
+                    _keep_debug(image, config, "ocr", row)
+                out["content"] = rec.assemble(rec.session(key, build_recognizer)(image))
             else:
                 image = kernels.preprocess_for_vlm(image, config)
+                _keep_debug(image, config, "vlm", row)
                 client = Client(transport, config)
                 if mode == ParsingMode.VLM:
                     out["content"] = call_once(client, image, config, schema)
@@ -70,9 +90,13 @@ def run_stage(images: DataFrame, mode: ParsingMode, config: EngineConfig, transp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = bounded(one, batch.select(["image", "error"]).to_pylist(), config.max_concurrency)
+            done = bounded(one, batch.select([n for n in ("path", "page_number", "image", "error") if n in batch.schema.names]).to_pylist(), at_once)
+            if done_pages is not None:
+                done_pages.add(len(done))
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], *[pa.array([d[k] for d in done], t) for k, t in _KINDS.items()]], [*[f.name for f in rest], *_KINDS])
 
+    if progress:
+        progress[0] = done_pages
     return images.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [ADDED]))
 
 

@@ -6,11 +6,13 @@ that both engines read alike. Integers leave as bigint.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import EngineConfig, ParsingMode
+from ..config import EngineConfig, ParsingMode, check_request
 from ..functions import geometry as G
 from ..functions import kernels
 from ..functions import text as X
@@ -50,16 +52,22 @@ def _replies(spark, d) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", "source", F.expr(REPLY).alias("reply"), F.expr(MODE).alias("mode"))
 
 
+def _contents(replies: DataFrame) -> DataFrame:
+    kept = P.drop_blank(replies.withColumn("content", X.extract_or_empty(F.col("reply"))))
+    return kept.select(F.concat("source", F.lit(".pdf")).alias("file_name"), F.col("doc_id").alias("page_number"), "content", F.col("mode").alias("parsing_mode"))
+
+
 def page_contents(spark, d):
     """Replies to page records without their ids: extraction, metadata, blank pages, places in order."""
-    pages = _replies(spark, d).withColumn("content", X.extract_or_empty(F.col("reply")))
-    kept = P.drop_blank(pages)
-    return kept.select(F.concat("source", F.lit(".pdf")).alias("file_name"), F.col("doc_id").alias("page_number"), "content", F.col("mode").alias("parsing_mode"))
+    return _contents(_replies(spark, d))
 
 
 def page_records(spark, d):
-    """The flagship: page_contents with the id that follows from each content, in page order."""
-    return P.ordered(P.with_records(page_contents(spark, d)))
+    """The flagship: page_contents with the id that follows from each content, in page order.
+
+    A global sort reads its input twice, so replies are sorted as they came, and contents and ids follow behind it.
+    """
+    return P.with_records(_contents(P.ordered(_replies(spark, d), "doc_id")))
 
 
 def transcription_extract(spark, d):
@@ -137,12 +145,20 @@ def ocr_line_assembly(spark, d):
     return P.ocr_lines(lines.withColumn("top", top), ["doc_id"])
 
 
+def _outcome(mode: ParsingMode, image: bool, client: bool, schema: bool) -> str:
+    """What the engine's own check says to a request."""
+    try:
+        check_request(mode, client, {} if schema else None, "image" if image else "pdf")
+    except ValueError as refused:
+        return next(short for part, short in (("agentic", "agentic image"), ("schema", "schema without model"), ("needs the model's", "no client")) if part in str(refused))
+    return "run"
+
+
 def mode_dispatch(spark, d):
     e = _t(spark, d, "events").select("event_id", F.expr("event_id % 3").alias("m"), F.expr("event_id % 2 = 0").alias("image"), F.expr("event_id % 5 < 3").alias("client"), F.expr("event_id % 7 = 0").alias("schema"))
-    mode = F.element_at(F.array(*[F.lit(x.value) for x in ParsingMode]), (F.col("m") + 1).cast("int"))
-    agent, vlm = ParsingMode.AGENTIC.value, ParsingMode.VLM.value
-    refused = (F.when(F.col("image") & (mode == agent), "agentic image").when(F.col("schema") & (mode != vlm), "schema without model").when((mode != ParsingMode.BASIC_OCR.value) & ~F.col("client"), "no client"))
-    return e.select("event_id", mode.alias("mode"), F.coalesce(refused, F.lit("run")).alias("outcome"))
+    cases = [(m, mode, *flags) for m, mode in enumerate(ParsingMode) for flags in itertools.product((True, False), repeat=3)]
+    table = spark.createDataFrame([(m, *flags, mode.value, _outcome(mode, *flags)) for m, mode, *flags in cases], "m bigint, image boolean, client boolean, schema boolean, mode string, outcome string")
+    return e.join(F.broadcast(table), ["m", "image", "client", "schema"]).select("event_id", "mode", "outcome")
 
 
 def message_build(spark, d):
@@ -365,7 +381,7 @@ class EchoModel:
 
 def _pipeline(mode: ParsingMode):
     def run(spark, d):
-        config = EngineConfig(post_crop_max_size=64, max_retries=1)
+        config = EngineConfig(post_crop_max_size=64, max_retries=1, max_concurrency=64)
         build = lambda: lambda x: [([[0, 0]], f"{x.shape[0]} rows", 1.0)]
         out = run_stage(_images(spark, d), mode, config, EchoModel(), build)
         return P.with_records(out.where("error IS NULL").select("img", "content", "reflect_iterations"))

@@ -10,7 +10,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,3 +48,11 @@ def ship(spark: SparkSession) -> None:
         out.close()
     sc.addPyFile(path.toString())
     sc._pagemill_shipped = True
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Rows written once to the shared folder, for what must not be computed again: calls of a model, and plans that are read many times."""
+    ship(df.sparkSession)
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

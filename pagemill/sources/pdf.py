@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql.types import IntegerType
 
 from ..operators.pages import plan_pages
 from ..schemas import IMAGE
-from ..shared import shared_dir, ship
+from ..shared import ship, stored
 
 _OBJECT = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
@@ -60,6 +61,7 @@ def pdf_page_count(contents: pd.Series) -> pd.Series:
 
 def read_pdfs(spark: SparkSession, path: str, start_page: int | None = None, end_page: int | None = None) -> DataFrame:
     """A row for each page to read: path, total_pages, page_number and error. Contents stay in the files until pages are rendered."""
+    ship(spark)  # counting runs this package's code
     files = spark.read.format("binaryFile").load(path)
     counted = files.select("path", pdf_page_count("content").alias("total_pages"))
     readable = counted.where("total_pages IS NOT NULL").withColumns({"start_page": F.lit(start_page).cast("int"), "end_page": F.lit(end_page).cast("int")})
@@ -81,26 +83,44 @@ def fitz_renderer(content: bytes, page: int, zoom: float) -> np.ndarray:
     return np.ascontiguousarray(rgb[..., 2::-1])
 
 
-def render_pages(spark: SparkSession, pages: DataFrame, renderer: Renderer, dpi: float = 300) -> DataFrame:
-    """Rasters of the planned pages. A file is read once for all of its pages that a task has."""
+def _content(path: str) -> bytes:
+    """A file's bytes, read where its pages are rendered."""
+    if path.startswith("file:") or "://" not in path:
+        return Path(re.sub(r"^file:(//)?(?=/)", "", path)).read_bytes()
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_file(name) as f:
+        return f.read()
+
+
+#: Pages of a file that one row plans, and so the most that have to be rendered in one task.
+PAGES = 16
+
+
+def render_pages(spark: SparkSession, pages: DataFrame, renderer: Renderer, dpi: float = 300, tasks: int | None = None) -> DataFrame:
+    """Rasters of the planned pages. Only names and numbers are shuffled; each run of PAGES pages reads its file."""
+    ship(spark)
+    pages = stored(pages.select("path", "total_pages", "page_number", "error"), "page-plan")  # so that files are read for counting once
     good = pages.where("error IS NULL")
     failed = pages.where("error IS NOT NULL").select("path", "total_pages", "page_number", F.lit(None).cast(IMAGE).alias("image"), "error")
-    wanted = good.groupBy("path").agg(F.first("total_pages").alias("total_pages"), F.sort_array(F.collect_set("page_number")).alias("wanted"))
-    files = good.select("path").distinct().toLocalIterator()  # names only
-    contents = spark.read.format("binaryFile").load([r.path for r in files] or f"{shared_dir(spark)}/*.none")
-    joined = contents.select("path", "content").join(wanted, "path")
+    runs = good.groupBy("path", "total_pages", F.floor(F.col("page_number") / PAGES).alias("run")).agg(F.sort_array(F.collect_set("page_number")).alias("wanted"))
+    runs = runs.repartition(tasks or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path", "run").sortWithinPartitions("path", "run")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
+        path, content = None, b""
         for batch in batches:
             for r in batch.to_pylist():
                 for n in r["wanted"]:
                     try:
-                        x = renderer(r["content"], n, dpi / 72)
+                        if r["path"] != path:
+                            path, content = None, _content(r["path"])
+                            path = r["path"]
+                        x = renderer(content, n, dpi / 72)
                         image, error = {"origin": r["path"], "height": x.shape[0], "width": x.shape[1], "nChannels": 3, "mode": 16, "data": x.tobytes()}, None
                     except Exception as failure:  # noqa: BLE001 - one page's failure leaves the others alone
                         image, error = None, f"{type(failure).__name__}: {failure}"
                     yield pa.RecordBatch.from_arrays([pa.array([r["path"]]), pa.array([r["total_pages"]], pa.int32()), pa.array([n], pa.int32()), pa.array([image], kind), pa.array([error], pa.string())], ["path", "total_pages", "page_number", "image", "error"])
 
-    ship(spark)
-    return joined.mapInArrow(run, RENDERED).unionByName(failed)
+    return runs.select("path", "total_pages", "wanted").mapInArrow(run, RENDERED).unionByName(failed)

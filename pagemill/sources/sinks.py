@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.text import as_json
+from ..shared import stored
 
 MODEL_CACHE = Path.home() / ".cache" / "pagemill" / "models"
 
@@ -23,6 +24,7 @@ def save(records: DataFrame, path: str, stem: str = "output") -> Path | None:
 
     Rows are read one by one, so the driver holds one partition of results at most. Nothing is written without rows.
     """
+    records = stored(records, "saved")  # the order below is found in two passes
     if records.isEmpty():
         warnings.warn(f"nothing was extracted, so {path} isn't written", UserWarning, stacklevel=2)
         return None
@@ -38,7 +40,7 @@ def save(records: DataFrame, path: str, stem: str = "output") -> Path | None:
 
 
 def _plain(row) -> dict:
-    """A record without the metadata it doesn't have; the user's keys stand beside the others."""
+    """A record without the metadata it doesn't have; the user's keys, null ones too, stand beside the others."""
     meta = {k: v for k, v in row.metadata.asDict(True).items() if v is not None}
     meta = json.loads(meta.pop("user_meta", None) or "{}") | meta
     return {"id": row.id, "content": row.content, "metadata": meta}

@@ -14,7 +14,7 @@ from pagemill.config import EngineConfig, ParsingMode, check_request
 from pagemill.functions import kernels as K
 from pagemill.functions import text as X
 from pagemill.operators.model import Client, messages, python_transcription
-from pagemill.operators.reflect import check_critic, reflect
+from pagemill.operators.reflect import attempted, check_critic, reflect
 from pagemill.sources import pdf, recognizer, sinks
 
 
@@ -249,6 +249,75 @@ def test_images_to_records(spark, tmp_path):
     assert [(r.content, r.metadata.file_name, r.metadata.parsing_mode) for r in out] == [("high\nlow", "a.png", "ocr_engine")]
 
 
+def test_two_recognisers_in_one_worker(spark):
+    image = [{"origin": "x", "height": 40, "width": 30, "nChannels": 3, "mode": 16, "data": bytearray(page(40, 30).tobytes())}]
+    one = spark.createDataFrame([(image[0],)], schemas.T.StructType([schemas.T.StructField("image", schemas.IMAGE)]))
+    for said in ("first", "second", "first"):
+        build = lambda said=said: lambda x: [([[0, 1]], said, 1.0)]
+        assert [r.content for r in api.parse_images(spark, one, build_recognizer=build).collect()] == [said]
+
+
+def test_missing_models_are_told(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        api.parse_images(spark, str(tmp_path), config=EngineConfig(ocr_model_dir=str(tmp_path / "none")))
+
+
+def test_every_page_is_called_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    (tmp_path / "in").mkdir()
+    many = PDF.replace(b"/Count 2", b"/Count 37")
+    (tmp_path / "in" / "a.pdf").write_bytes(many)
+    (tmp_path / "in" / "b.pdf").write_bytes(PDF)
+
+    def model(request):
+        import uuid
+
+        (calls / uuid.uuid4().hex).write_text("")
+        return {"content": "text"}
+
+    def render(content, number, zoom):
+        if number == 3 and b"37" in content:
+            raise ValueError("torn")
+        return np.full((10, 10, 3), number, np.uint8)
+
+    seen = []
+    with pytest.warns(UserWarning, match="1 pages failed: .*a.pdf page 3: ValueError: torn"):
+        out = api.parse_pdfs(spark, str(tmp_path / "in"), ParsingMode.VLM, EngineConfig(debug_dir=str(tmp_path / "debug")), renderer=render, transport=model, progress=seen.append)
+    assert len(out.collect()) == 38 and out.count() == 38
+    assert json.loads(sinks.save(out, str(tmp_path / "out.json")).read_text())[0]["metadata"]["page_number"] == 1
+    assert len(list(calls.iterdir())) == 38 and seen[-1] == 39
+    assert len(list((tmp_path / "debug").glob("*_vlm_p*_0.png"))) == 38
+
+
+def test_steps_of_the_loop_are_tried_again():
+    waits = []
+    flaky = iter([ConnectionResetError("a"), BrokenPipeError("b"), "done"])
+
+    def node():
+        x = next(flaky)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert attempted(node, waits.append) == "done" and waits == [2.0, 4.0]
+    with pytest.raises(ValueError):
+        attempted(lambda: int("x"), waits.append)
+    assert len(waits) == 2
+
+
+def test_default_recogniser_reads_lines():
+    from pagemill.sources import onnx_backend as B
+
+    chance = np.zeros((64, 96), np.float32)
+    chance[10:20, 8:80], chance[40:50, 8:60], chance[60:62, 1:3] = 0.9, 0.8, 0.9
+    assert [(a < 10 and b > 20, c < 8) for a, b, c, _ in B.boxes(chance)] == [(True, True), (False, True)]
+    text = np.eye(4)[[0, 1, 1, 0, 1, 2, 3]]
+    assert B.read(text, ["", "a", "b", " "]) == ("aab ", 1.0) and B.read(np.eye(2)[[0, 0]], ["", "a"]) == ("", 0.0)
+    got = B.recognize(np.zeros((64, 96, 3), np.uint8), lambda x: chance[None, None], lambda x: text[None], ["", "a", "b", " "])
+    assert [t for _, t, _ in got] == ["aab ", "aab "] and recognizer.assemble(got) == "aab\naab"
+
+
 def records(spark, rows):
     return spark.createDataFrame([("i", c, (f"f{p}", 2, p, None, "m", None, None, None, None)) for p, c in rows], schemas.RECORD)
 
