@@ -287,27 +287,98 @@ def test_lm_prefers_what_it_learnt(spark):
     assert all(r.log_prob == pytest.approx(r.n_tokens * (r.mean_log_prob or 0)) for r in rows)
 
 
+def vocabulary_of(count, rare=(0, 0)):
+    words = np.random.default_rng(6).integers(0, 1 << 63, len(count), dtype=np.uint64)
+    return words, lm_scoring.Vocabulary.of(words, np.array(count), *rare)
+
+
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
-    count = rng.integers(0, 50, lm_scoring.BUCKETS).astype(float)
-    kind, within, prior = lm_scoring.classes(count)
-    assert np.allclose(np.bincount(kind, np.exp(within)), 1) and prior.sum() == pytest.approx(1)
-    net = lm_scoring.Network(prior)
-    around = lm_scoring.surroundings(rng.integers(0, lm_scoring.BUCKETS, 7).astype(np.intp), np.array([0, 7]))
-    total = sum(np.exp(net.log_probs(around, np.full(7, c))) for c in range(lm_scoring.CLASSES))
+    words, v = vocabulary_of(rng.integers(1, 50, 20000), (100, 130))
+    _, kind, within = v.find(words)
+    assert np.allclose(np.bincount(kind, np.exp(within), lm_scoring.CLASSES)[:-1], 1, atol=1e-3) and v.prior.sum() == pytest.approx(1)
+    _, kind, within = v.find(np.array([5], np.uint64))
+    assert kind[0] == lm_scoring.CLASSES - 1 and np.exp(within[0]) == pytest.approx(0.01)
+    net = lm_scoring.Network(v.prior)
+    rows = lm_scoring._rows(rng.integers(0, lm_scoring.BUCKETS, 7), np.array([0, 7]))
+    total = sum(np.exp(net.log_probs(rows, np.full(7, c))) for c in range(lm_scoring.CLASSES))
     assert np.allclose(total, 1, atol=1e-4)
 
 
 def test_lm_gradient_by_differences():
     rng = np.random.default_rng(4)
-    kind, within, prior = lm_scoring.classes(np.ones(lm_scoring.BUCKETS))
-    ids = rng.integers(0, 40, 300).astype(np.intp)
-    around, target = lm_scoring.surroundings(ids, np.array([0, 300])), kind[ids]
-    net = lm_scoring.Network(prior)
-    before = net.log_probs(around, target).mean()
+    words, v = vocabulary_of([1] * 5000)
+    ids, target, _ = v.find(words[rng.integers(0, 40, 300)])
+    rows = lm_scoring._rows(ids, np.array([0, 300]))
+    net = lm_scoring.Network(v.prior)
+    before = net.log_probs(rows, target).mean()
     for _ in range(20):
-        net.learn(around, target, 0.1)
-    assert net.log_probs(around, target).mean() > before + 0.1
+        net.learn(rows, target, 0.1)
+    assert net.log_probs(rows, target).mean() > before + 0.1
+
+
+def brute_scores(rows, net, v):
+    """The definition, word by word: class and share from the network, occurrences counted in dictionaries."""
+    from collections import Counter
+
+    def hashes(text):
+        return _text.words(np.frombuffer((text or "").lower().encode(), np.uint8), np.array([0, len((text or "").lower().encode())]))[0].tolist()
+
+    texts = [hashes(text) for _, text, _ in rows]
+    of = {}
+    for k, (word, n) in enumerate(sorted(Counter(w for t in texts for w in t).items(), key=lambda x: (-x[1], x[0]))):
+        of[word] = (k if k < lm_scoring.DIRECT else None, n)
+    kinds = dict(zip(of, v.find(np.array(list(of), np.uint64))[1].tolist()))
+    share = Counter()
+    for word, (_, n) in of.items():
+        share[kinds[word]] += n
+    sides, whole = Counter(), Counter()
+    near = lambda t, i: tuple(t[j] if 0 <= j < len(t) else None for j in (i - 2, i - 1, i + 1, i + 2))
+    for t in texts:
+        for i, w in enumerate(t):
+            sides[near(t, i)] += 1
+            whole[near(t, i), w] += 1
+    table = net.embed.reshape(4, lm_scoring.BUCKETS + 1, lm_scoring.WIDTH)
+    out = []
+    for t in texts:
+        total = 0.0
+        for i, w in enumerate(t):
+            hidden = np.tanh(sum(table[p, lm_scoring.BUCKETS if x is None else of[x][0]] for p, x in enumerate(near(t, i))))
+            z = np.exp(hidden @ net.layer + net.bias)
+            p = z[kinds[w]] / z.sum() * of[w][1] / share[kinds[w]]
+            total += math.log((whole[near(t, i), w] - 1 + lm_scoring.STRENGTH * p) / (sides[near(t, i)] - 1 + lm_scoring.STRENGTH))
+        out.append(total)
+    return out
+
+
+def test_lm_matches_brute_force(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(n))
+    rows = [(k, text(rng.randint(0, 60)), "en") for k in range(120)]
+    rows += [(200, rows[3][1], "en"), (None, rows[4][1], "en"), (3, rows[3][1], "en"), (300, "", "en"), (301, None, "en"), (302, "a b " * 3000, "en")]
+    df = docs(spark, rows)
+    net, v = lm_scoring.fit(df)
+    want = sorted((str(i), n, round(x, 1)) for (i, _, _), n, x in zip(rows, (len(words(t)) for _, t, _ in rows), brute_scores(rows, net, v)))
+    got = sorted((str(r.doc_id), r.n_tokens, r.log_prob) for r in lm_scoring.score(df, (net, v)).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    for g, w in zip(got, want):
+        assert g[2] == pytest.approx(w[2], abs=0.1 + 1e-3 * g[1])
+
+
+def test_lm_keeps_all_counts_of_rare_words(spark):
+    rows = [(k, f"often often rare{k} rare{k + 1}", "en") for k in range(50)]
+    net, v = lm_scoring.fit(docs(spark, rows), most_words=10)
+    assert len(v.words) <= 10 and v.rare == pytest.approx(-math.log(51 if len(v.words) == 1 else 0), abs=1e-6)
+    assert lm_scoring.score(docs(spark, rows), (net, v)).count() == 50
+
+
+def test_lm_scores_texts_that_come_twice_higher(spark):
+    rng = random.Random(13)
+    text = lambda: " ".join(f"w{int(rng.paretovariate(0.5)) % 5000}" for _ in range(200))
+    rows = [(k, text(), "en") for k in range(200)]
+    rows += [(1000 + k, rows[k][1], "en") for k in range(20)]
+    by = {r.doc_id: r.mean_log_prob for r in lm_scoring.score(docs(spark, rows)).collect()}
+    assert min(by[k] for k in range(20)) > max(by[k] for k in range(20, 200))
 
 
 def test_lm_of_nothing(spark):
