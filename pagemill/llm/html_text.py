@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..shared import ship
 from . import _text
+from ._work import Scratch
 
 LEAST, HOST_LIMIT = 8, 160 << 20
 _GONE = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)(noscript|template|iframe|svg)(?=[\s/>])(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*>|<[a-z/!?][^>]*(?:>|\Z)")
@@ -150,8 +151,9 @@ def _host(least: int):
         stream, at = _marked(h, offsets)
         del h
         # rows of one page_id are one page; a null one stands alone
-        known = np.array([-1 - k if v is None else v for k, v in enumerate(ids.to_pylist())])
-        page = np.unique(known, return_inverse=True)[1].astype(np.int32)
+        page = np.arange(len(ids), dtype=np.int32)
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        page[known] = len(ids) + np.unique(ids.drop_null().to_numpy(), return_inverse=True)[1]
         of = np.repeat(page, np.diff(offsets) + 1)
         keep = ~covered(stream, of, least)[at]
         texts = [_kept_text(buf, s[a:b], e[a:b], keep[a:b]).decode() if v else None for a, b, v in zip(offsets[:-1], offsets[1:], column.is_valid().to_pylist())]
@@ -219,9 +221,10 @@ def extract(pages: DataFrame, least: int = LEAST, host_limit: int = HOST_LIMIT)
     out = small.mapInArrow(_visible_batches, TEXTS).groupBy("host").applyInArrow(_host(least), CLEAN)
     if large:
         texts = rows.where(F.col("host").isin(large)).mapInArrow(_visible_batches, TEXTS)
-        # a row's key: repeated rows agree in it and in their text
-        texts = texts.withColumn("page", F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("\t"), F.md5("text")))).withColumn("row", F.xxhash64("page", "text"))
-        runs = texts.mapInArrow(_runs(least), "host string, page string, row bigint, place int, h1 bigint, h2 bigint")
+        # written once, so that rows keep the keys they get here: a null page_id is a page of its own
+        texts = texts.withColumn("row", F.expr("uuid()")).withColumn("page", F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("\t"), "row")))
+        texts = Scratch(pages.sparkSession, "html-texts").keep(texts, "large")
+        runs = texts.mapInArrow(_runs(least), "host string, page string, row string, place int, h1 bigint, h2 bigint")
         common = runs.groupBy("host", "h1", "h2").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a < b").drop("a", "b")
         places = runs.join(common, ["host", "h1", "h2"], "left_semi").groupBy("host", "page", "row").agg(F.collect_set("place").alias("places"))
         out = out.unionByName(texts.join(places, ["host", "page", "row"], "left").select("page_id", "host", "text", "places").mapInArrow(_without(least), CLEAN))
