@@ -14,8 +14,11 @@ sum over its hits, and every window of theirs is tried: no window at or above th
 What is found is verified with the weighted similarity of word-pair multisets (weight: the pair's length in bytes) between the item
 and the item-sized window of the text: sum of w min(x, y) over sum of w max(x, y).
 
-Defined results: null, empty and word-less texts hold nothing; items that are null or shorter than min_words are not
-searched for, as they can't be told from chance; of an item that occurs more than once in a text the most similar window
+Items of fewer than `short` words, in which a single other word is most of the item, are found as exact copies of their
+sequence of words, down to one word. (A benchmark of single words so takes every document that has one.)
+
+Defined results: null, empty and word-less texts hold nothing; null and word-less items are nowhere; texts however long
+are searched whole, in runs of words; of an item that occurs more than once in a text the most similar window
 is reported, of ties the first; repeated rows are reported each; other columns, whatever their names, are ignored by
 leaks() and kept by remove_leaks(), which keeps rows with a null doc_id too. An empty benchmark leaks nowhere.
 """
@@ -43,6 +46,14 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return _text.mix(h[:-1] * _PAIR + h[1:]) if len(h) > 1 else np.empty(0, np.uint64)
 
 
+def _sequences(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n words in a row."""
+    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for k in range(n):
+        out = _text.mix(out * _PAIR + h[k : k + len(out)])
+    return out
+
+
 def _running(g: np.ndarray, widest: int) -> np.ndarray:
     """Per bit, how many of the pairs so far have it; counts wrap around, differences within a window don't."""
     kind = np.uint8 if widest < 256 else np.uint32
@@ -167,12 +178,15 @@ class _Rare:
 class Index:
     """Everything that a search for some benchmark items needs."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.6, min_words: int = 8, radius: int = 9, ratio: float = 4 / 3):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.6, short: int = 8, radius: int = 9, ratio: float = 4 / 3):
         self.threshold, self.radius, self.items = threshold, radius, []
+        brief: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item_id, text in sorted((i, t) for i, t in items if i is not None and t):
             raw = np.frombuffer(text.lower().encode(), np.uint8)
             h, s, e, _ = _text.words(raw, np.array([0, len(raw)]))
-            if len(h) >= max(2, min_words):
+            if 0 < len(h) < max(2, short):
+                brief.setdefault(len(h), []).append((item_id, h))
+            elif len(h):
                 g = _pairs(h)
                 length = e - s
                 weight = dict(zip(g.tolist(), (length[:-1] + length[1:]).tolist()))
@@ -180,6 +194,11 @@ class Index:
                 for x in g.tolist():
                     count[x] = count.get(x, 0) + 1
                 self.items.append((item_id, h, count, weight, sum(n * weight[x] for x, n in count.items())))
+        self.brief = {}
+        for n, own in brief.items():
+            key = np.array([_sequences(h, n)[0] for _, h in own], np.uint64)
+            order = np.argsort(key, kind="stable")
+            self.brief[n] = key[order], [own[k] for k in order.tolist()]
         lengths = sorted({len(i[1]) for i in self.items})
         sizes: list[int] = []
         for n in lengths:
@@ -236,8 +255,9 @@ class Index:
         """(text, item, first word, words, similarity), the best window of each text and item."""
         seen: set[tuple[int, int]] = set()
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        copies = self._copies(h, offsets)
         if not self.items:
-            return []
+            return copies
         threshold = self.threshold
         end_of = np.repeat(offsets[1:], np.diff(offsets))
         for a in range(0, len(h), CHUNK):
@@ -282,7 +302,22 @@ class Index:
                     if sim >= threshold:
                         new = (-sim, first - int(offsets[d]), end - first)
                         best[d, k] = min(best.get((d, k), new), new)
-        return [(d, self.items[k][0], first, n, -sim) for (d, k), (sim, first, n) in sorted(best.items())]
+        return copies + [(d, self.items[k][0], first, n, -sim) for (d, k), (sim, first, n) in sorted(best.items())]
+
+    def _copies(self, h: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+        """The first exact copy of each short item in each text."""
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        for n, (keys, items) in self.brief.items():
+            g = _sequences(h, n)
+            low = np.searchsorted(keys, g)
+            for p in np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == g).tolist():
+                d = int(np.searchsorted(offsets, p, "right")) - 1
+                if p + n > offsets[d + 1]:
+                    continue
+                for item_id, own in items[int(low[p]) : int(np.searchsorted(keys, g[p], "right"))]:
+                    if (own == h[p : p + n]).all():
+                        out.setdefault((d, item_id), (p - int(offsets[d]), n))
+        return [(d, item_id, first, n, 1.0) for (d, item_id), (first, n) in sorted(out.items())]
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, send_limit: int, **options):
