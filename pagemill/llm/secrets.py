@@ -4,16 +4,18 @@ The JVM's regular expressions keep texts with a candidate; only those go to Pyth
 structure holds: private keys must decode from base64 or hex to nested DER lengths of a known key form or to the length-
 prefixed fields of an OpenSSH key, those encrypted under a DEK-Info header must have whole cipher blocks, signed tokens must have a JSON header that names an algorithm and a JSON payload,
 access key ids must decode from base32, and other hex or base64 strings must decode to a usual key size with well mixed
-bytes and be assigned to a name such as token or secret. Digests and long words without such structure are left alone.
+bytes, 12 at least, and be assigned to a name such as token or secret. Digests and long words without such structure are left alone.
 
 Defined results: null and empty texts hold none; overlapping finds give the first kind of KINDS; each repeated row is
-reported; offsets are in characters; a null doc_id is reported as null; scan() ignores other columns, redact() keeps
-them and brings n_chars up to date where there is such a column.
+reported; offsets are in characters; a null doc_id is reported as null; long texts are searched whole, in time that
+follows their length and finds; an empty table gives no rows; scan() ignores other columns, redact() keeps them with
+their types and brings n_chars up to date where there is such a column of whole numbers.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import binascii
 import hashlib
 import json
@@ -39,8 +41,9 @@ _TOKEN = re.compile(r"(?<![\w.-])(eyJ[\w-]{8,})\.([\w-]{2,})\.([\w-]*)")
 _ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z2-7]{16}(?![A-Za-z0-9])")
 _HEX = re.compile(r"(?<![\w+/-])(?:[0-9a-f]{24,}|[0-9A-F]{24,})(?![\w+/=-])")
 _BASE64 = re.compile(r"(?<![\w+/-])[A-Za-z0-9+/_-]{24,}={0,2}(?![\w+/=-])")
-_NAMED = re.compile(r"(?i)(?:token|secret|passw\w*|pwd|api[_-]?key|[_-]key|\bkey|auth\w*|bearer|credential\w*)[\"']?\s{0,3}(?:[=:]|=>|:=|\bis\b)?\s{0,3}[\"']?$")
-_SIZES = {12, 15, 16, 18, 20, 21, 24, 27, 28, 30, 32, 36, 40, 48, 64}
+_NAMED = re.compile(r"(?i)(?:token|secret|passw\w*|pwd|api[_-]?key|[_-]key|\bkey|auth\w*|bearer|credential\w*)(?:[_.-][a-z0-9]+)*[\"']?\s{0,3}(?:[=:]|=>|:=|\bis\b)?\s{0,3}[\"']?$")
+#: Characters before a candidate in which its name is looked for.
+BEFORE = 256
 
 
 def tlv(b: bytes, at: int = 0) -> tuple[int, int, int] | None:
@@ -159,13 +162,16 @@ def secrets(text: str | None) -> list[tuple[str, int, int, str]]:
                 continue
             if len(raw) > 30 and (form := key_form(raw)):
                 found.append((0, KINDS[0], m.start(), m.end(), form))
-            elif len(raw) in _SIZES and mixed(raw) and _NAMED.search(text[max(0, m.start() - 40) : m.start()]) and (k == 3 or (re.search("[a-z]", s) and re.search("[A-Z]", s) and re.search(r"\d", s))):
+            elif mixed(raw) and _NAMED.search(text[max(0, m.start() - BEFORE) : m.start()]) and (k == 3 or (re.search("[a-z]", s) and re.search("[A-Z]", s) and re.search(r"\d", s))):
                 found.append((k, KINDS[k], m.start(), m.end(), f"{len(raw)} bytes"))
-    out: list[tuple[str, int, int, str]] = []
+    starts: list[int] = []
+    out: list[tuple[str, int, int, str]] = []  # in order, none over another
     for _, kind, a, b, detail in sorted(found):
-        if all(b <= x[1] or a >= x[2] for x in out):
-            out.append((kind, a, b, detail))
-    return sorted(out, key=lambda x: x[1])
+        k = bisect.bisect(starts, a)
+        if (not k or out[k - 1][2] <= a) and (k == len(out) or b <= out[k][1]):
+            starts.insert(k, a)
+            out.insert(k, (kind, a, b, detail))
+    return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -190,16 +196,21 @@ def redact(docs: DataFrame) -> DataFrame:
     @F.pandas_udf("string")
     def clean(texts):
         def one(text):
-            for _, a, b, _ in reversed(secrets(text)):
-                text = text[:a] + MARK + text[b:]
-            return text
+            found, parts, at = secrets(text), [], 0
+            for _, a, b, _ in found:
+                parts += [text[at:a], MARK]
+                at = b
+            return "".join([*parts, text[at:]])
 
         return texts.map(one, na_action="ignore")
 
     # texts without a candidate are null on their way to Python and stay as they are
     suspect = F.when(F.col("text").rlike(CANDIDATE), F.col("text"))
     out = docs.withColumn("text", F.coalesce(clean(suspect), "text"))
-    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))) if "n_chars" in docs.columns else out
+    kind = dict(docs.dtypes).get("n_chars")
+    if kind not in ("smallint", "int", "bigint"):
+        return out
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
 
 
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
