@@ -2,7 +2,7 @@
 
 A text's features are its byte n-grams (2 to 4 bytes, letters only, the rest as blanks) hashed to rows of an embedding
 table; their average goes through a linear layer. Table and layer are trained by stochastic gradient descent in numpy on
-labelled rows: at most `most_docs` documents drawn by a hash of their id, cut into pieces of 4 to 60 words so that short
+labelled rows: about `most_docs` documents at most, drawn by a hash of their id and text, cut into pieces of 4 to 60 words so that short
 texts are learnt too. Every fifth document is held out; on these, whole as the texts to be judged are, the temperature of
 the probabilities and the least probability at which a language is accepted are set, so that the share of errors among
 what is accepted is at most `most_errors`; that probability is at least `floor`, by default 1.2 times a blind guess's.
@@ -10,7 +10,8 @@ For scoring, table and layer are multiplied out: a text's scores are the mean of
 
 Defined results: null, empty and letterless texts are rejected, with a null language and probability 0; so is every text
 below the accepted probability (its best language is still named); a table without any label rejects all; of languages
-with equal scores the first in the alphabet is taken; repeated rows are scored each; a null doc_id stays; other columns
+with equal scores the first in the alphabet is taken; very long texts are scored whole, in pieces; repeated rows are
+scored each; a null doc_id stays; other columns
 are ignored by identify() and kept by keep_identified().
 """
 
@@ -182,7 +183,7 @@ def fit(docs: DataFrame, most_docs: int = 1000, **options) -> Model:
     labelled = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND length(text) > 0")
     n = docs.select("lang").where("lang IS NOT NULL").count()
     if n > most_docs:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < int((1 << 30) * most_docs / n))
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 30)) < int((1 << 30) * most_docs / n))
     rows = labelled.select("lang", "text", "doc_id").limit(2 * most_docs).collect()
     return train([(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text))], **options)
 
