@@ -59,23 +59,63 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def turns_as_events(conversations: DataFrame) -> DataFrame:
-    """The turns table as a log: the lines of a turn are streamed deltas; a turn that comes again begins anew."""
+    """The turns table as a log: the lines of a turn are streamed deltas.
+
+    Rows of one turn that differ in role or text are messages of their own, in order of their first lines; equal ones are one.
+    """
     lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "piece")
-    parts = conversations.select("conv_id", "turn", "role", lines)
+    own = F.concat(F.col("turn").cast("string"), F.lit("-"), F.md5(F.concat(F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))))
+    parts = conversations.select("conv_id", "turn", "role", own.alias("message_id"), lines)
     return parts.select(
         "conv_id",
-        (F.col("turn") * 1_000_000 + F.col("line")).alias("seq"),
-        F.col("turn").alias("message_id"),
+        (F.col("turn") * (1 << 32) + F.col("line")).alias("seq"),
+        "message_id",
         F.when(F.col("line") == 0, "message").otherwise("delta").alias("kind"),
         "role",
         F.when(F.col("line") == 0, F.col("piece")).otherwise(F.concat(F.lit("\n"), "piece")).alias("text"),
     )
 
 
+def changes(conversations: DataFrame) -> DataFrame:
+    """Events behind some turns: edits, regenerations with another text, and deletions, by conversation and turn."""
+    every = F.col("conv_id") + F.col("turn")
+    own = F.concat(F.col("turn").cast("string"), F.lit("-"), F.md5(F.concat(F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))))
+    at = F.col("turn") * (1 << 32) + (1 << 31)
+    event = lambda later, kind, text: F.struct((at + later).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    told = F.coalesce("text", F.lit(""))
+    some = (
+        F.when(every % 5 == 0, F.array(event(0, "edit", F.concat(F.lit("edited: "), told)), event(1, "delta", F.lit("!"))))
+        .when(every % 5 == 1, F.array(event(0, "regenerate", F.lit("dropped")), event(1, "delta", F.lit("again: ")), event(2, "delta", told)))
+        .when(every % 5 == 2, F.array(event(0, "delete", F.lit(None).cast("string"))))
+    )
+    # a regeneration that nothing follows leaves its message empty
+    back = F.when(every % 7 == 6, F.array(event(3, "regenerate", F.lit(""))))
+    events = F.explode(F.concat(F.coalesce(some, F.array().cast(NEW)), F.coalesce(back, F.array().cast(NEW))))
+    return conversations.select("conv_id", own.alias("message_id"), "role", events.alias("e")).select("conv_id", "e.seq", "message_id", "e.kind", "role", "e.text")
+
+
+NEW = "array<struct<seq:bigint,kind:string,text:string>>"
+
+
 def op3_chat_formatting(spark, sf_dir: str) -> DataFrame:
     return render(fold_events(turns_as_events(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
-ORACLE = """
-SELECT conv_id, count(*) AS n_messages, string_agg('<|' || coalesce(role, 'user') || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn) AS rendered
-FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text <> '' GROUP BY conv_id"""
+def op3_chat_changes(spark, sf_dir: str) -> DataFrame:
+    """The same behind edits, regenerations and deletions."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    log = turns_as_events(turns)
+    return render(fold_events(log.unionByName(changes(turns).select(*log.columns))))
+
+
+_TURNS = """SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text, split_part(coalesce(text, ''), chr(10), 1) AS line,
+  turn || '-' || md5(coalesce(role, '') || chr(10) || coalesce(text, '')) AS message FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL"""
+_RENDERED = """string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, line, message) AS rendered"""
+ORACLE = f"""
+WITH t AS ({_TURNS})
+SELECT conv_id, count(*) AS n_messages, {_RENDERED} FROM t WHERE text <> '' GROUP BY conv_id"""
+ORACLE_CHANGES = f"""
+WITH t AS ({_TURNS}),
+c AS (SELECT conv_id, turn, role, line, message, (conv_id + turn) % 5 = 2 AS gone, CASE WHEN (conv_id + turn) % 7 = 6 THEN ''
+  WHEN (conv_id + turn) % 5 = 0 THEN 'edited: ' || text || '!' WHEN (conv_id + turn) % 5 = 1 THEN 'again: ' || text ELSE text END AS text FROM t)
+SELECT conv_id, count(*) AS n_messages, {_RENDERED} FROM c WHERE NOT gone AND text <> '' GROUP BY conv_id"""

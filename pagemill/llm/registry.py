@@ -13,6 +13,7 @@ def queries():
         "op1_vptree_neighbours_exact": neighbours.op1_vptree_neighbours_exact,
         "op2_masked_lm_scoring": lm_scoring.op2_masked_lm_scoring,
         "op3_chat_formatting": chat.op3_chat_formatting,
+        "op3_chat_changes": chat.op3_chat_changes,
         "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_secret_scan": secrets.op6_secret_scan,
@@ -28,6 +29,7 @@ def oracle_sql():
     return {
         "op1_vptree_neighbours_exact": neighbours.ORACLE_EXACT,
         "op3_chat_formatting": chat.ORACLE,
+        "op3_chat_changes": chat.ORACLE_CHANGES,
         "op7_bucket_packing": packing.oracle(),
         "op10_ngram_jaccard_join": ngram_join.ORACLE,
     }

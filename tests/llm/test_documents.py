@@ -287,6 +287,20 @@ def test_lm_prefers_what_it_learnt(spark):
     assert all(r.log_prob == pytest.approx(r.n_tokens * (r.mean_log_prob or 0)) for r in rows)
 
 
+def test_decontamination_finds_short_items_as_copies(spark):
+    items = [(1, "Yes"), (2, "the capital of France"), (3, "the capital of Spain"), (4, "x y"), (5, "x y"), (6, "!")]
+    rows = [(10, "So the capital, of FRANCE is Paris; the capital of France", "en"), (11, "yes", "en"), (12, "capital of France the", "en"), (13, "x", "en"), (14, "y x y", "en"), (15, None, "en"), (16, "x y", "en")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start_word, r.n_words, r.similarity) for r in decontaminate.leaks(docs(spark, rows), bench).collect())
+    assert got == [(10, 2, 1, 4, 1.0), (11, 1, 0, 1, 1.0), (14, 4, 1, 2, 1.0), (14, 5, 1, 2, 1.0), (16, 4, 0, 2, 1.0), (16, 5, 0, 2, 1.0)]
+    assert sorted(r.doc_id for r in decontaminate.remove_leaks(docs(spark, rows), bench).collect()) == [12, 13, 15]
+
+
+def test_languages_are_learnt_without_ids(spark):
+    rows = [(None, f"{w} " * 30 + str(k), lang) for k in range(150) for w, lang in (("hello", "en"), ("bonjour", "fr"))]
+    assert language_id.fit(docs(spark, rows), most_docs=100).languages == ["en", "fr"]
+
+
 def vocabulary_of(count, rare=(0, 0)):
     words = np.random.default_rng(6).integers(0, 1 << 63, len(count), dtype=np.uint64)
     return words, lm_scoring.Vocabulary.of(words, np.array(count), *rare)

@@ -240,3 +240,44 @@ def test_html_repeated_rows_and_empty(spark):
     for limit in (1 << 30, 1):
         assert sorted(r.n_kept for r in html_text.extract(df, host_limit=limit).collect()) == [1, 20, 20]
         assert html_text.extract(df.limit(0), host_limit=limit).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 1])
+def test_html_null_negative_and_repeated_ids(spark, limit):
+    same = "<p>" + " ".join(f"w{k}" for k in range(20)) + "</p>"
+    rows = [(None, "https://a.example/1", same), (None, "https://a.example/2", same), (None, "https://b.example", same), (-1, "https://b.example", same), (-2, "https://c.example", same), (-2, "https://c.example", same)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.host, r.n_kept) for r in html_text.extract(df, host_limit=limit).collect())
+    assert got == [("a.example", 0), ("a.example", 0), ("b.example", 0), ("b.example", 0), ("c.example", 20), ("c.example", 20)]
+
+
+def test_chat_turns_that_repeat(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 0, "user", "A\nB"), (1, 0, "user", "C\nD"), (1, 0, "user", "A\nB"), (1, 0, None, "A\nB"), (1, 1, "assistant", "x"), (1, 2, "user", ""), (None, 0, "user", "n"), (2, None, "user", "n"), (3, 7, "user", None), (4, 2, "user", "e"), (4, 3, "assistant", "f\n\ng")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    for query, sql in ((chat.op3_chat_formatting, chat.ORACLE),):
+        got = sorted(tuple(r) for r in query(spark, str(tmp_path)).select("conv_id", "n_messages", "rendered").collect())
+        assert got == sorted(db.execute(f"SELECT conv_id, n_messages, rendered FROM ({sql})").fetchall())
+    assert "A\nB" in got[0][2] and "C\nD" in got[0][2] and got[0][1] == 4
+
+
+def test_secrets_of_unusual_size_and_far_names(spark):
+    import time
+
+    key = "".join(f"{(k * 73 + 41) % 256:02x}" for k in range(37))
+    assert [k for k, *_ in secrets.secrets(f"my_secret_token_for_the_service = {key}")] == ["assigned_hex"]
+    assert secrets.secrets(f"digest {key}") == []
+    many = "\n".join(f"token = {random.Random(k).randbytes(32).hex()}" for k in range(8000))
+    began = time.perf_counter()
+    found = secrets.secrets(many)
+    assert len(found) > 4000 and time.perf_counter() - began < 10 and all(x[2] <= y[1] for x, y in zip(found, found[1:]))
+
+
+def test_redaction_keeps_types(spark):
+    df = spark.createDataFrame([(1, "token = " + "".join(f"{(k * 73 + 41) % 256:02x}" for k in range(32)), "x")], "doc_id long, text string, n_chars string")
+    out = secrets.redact(df)
+    assert out.schema == df.schema and out.first().n_chars == "x" and "[secret]" in out.first().text
+    assert secrets.redact(df.selectExpr("doc_id", "text", "1 AS n_chars")).dtypes[2] == ("n_chars", "int")
