@@ -4,7 +4,8 @@ The global order of word n-grams (their hashes) is cut into fragments, and every
 document's, and a pair's, figures are sums over fragments. The join has three steps:
 
 1. Each fragment finds which of its n-grams two documents or more have. A document of whose n-grams fewer than
-   ceil(t |x|) are shared has no partner and goes; of documents with the same words in the same order the least doc_id
+   ceil(t |x|) are shared has no partner and goes (what is shared within a slice of the table is counted there and sent
+   once); of documents with the same words in the same order the least doc_id
    stands for all, as their class.
 2. Over the classes' first documents alone, each fragment counts how many have each n-gram and names the n-gram's head,
    the least of them. By the prefix filter, two documents with similarity t or more have an n-gram in common that for
@@ -18,7 +19,7 @@ So no pair crosses a shuffle, none is collected, and no table of documents is se
 2 tell n-grams apart by fragment and 32 more bits, which can only let more documents pass (sizes that fell short are
 allowed for by a slack); step 3 uses whole 64-bit hashes.
 
-Defined results: a null doc_id takes part in no pair; null and empty texts and texts without words have no n-grams and
+Defined results: a null doc_id (and -2^63, which stands for nobody) takes part in no pair; null and empty texts and texts without words have no n-grams and
 no pairs; rows with the same doc_id are one document with the n-grams of all of them; documents with fewer than n words
 have one shorter n-gram; ties need no rule, since all pairs count; very long texts are documents like any other; an empty
 table gives no rows; other columns are ignored.
@@ -43,7 +44,7 @@ PAIRS = "doc_a bigint, doc_b bigint, overlap bigint, jaccard double"
 ROWS, FRAGMENT, BLOCK_DOCS, BLOCK_GRAMS = 1 << 14, 3 << 19, 2048, 1 << 21
 #: Cells of up to so many documents are counted side by side; columns of one matrix product.
 SMALL, COLUMNS = 64, 2048
-_LOW = np.uint64(0xFFFFFFFF)
+_LOW, NOBODY = np.uint64(0xFFFFFFFF), np.iinfo(np.int64).min
 
 
 def _first(x: np.ndarray) -> np.ndarray:
@@ -97,8 +98,12 @@ def _slack(size: np.ndarray) -> np.ndarray:
     return 2 + (size.astype(np.float64) ** 2 / 2**32).astype(np.int64)
 
 
-def _entries(n: int, count: int, parts: int):
-    """For each slice and fragment the documents' n-grams, by document; behind the fragments, for each part, sizes and word orders."""
+def _entries(n: int, count: int, parts: int, merged: bool):
+    """For each slice and fragment the documents' n-grams, by document; behind the fragments, for each part, sizes and word orders.
+
+    merged: an n-gram that several documents of the slice have is known to be shared. It is counted for them here and
+    sent once, in nobody's name, so that one which a large part of all documents has is sent once a slice.
+    """
 
     def sent(part: pa.RecordBatch, buf: np.ndarray, bounds: np.ndarray):
         h, _, _, offsets = _text.words(buf, bounds)
@@ -112,8 +117,23 @@ def _entries(n: int, count: int, parts: int):
         key.sort()
         key = key[_first(key)]
         row = ((key >> np.uint64(32)) & np.uint64(ROWS - 1)).astype(np.int64)
-        size = np.bincount(row, minlength=len(ids))
+        size, here = np.bincount(row, minlength=len(ids)), np.zeros(len(ids), np.int64)
         who, gram = ids[row], (key & _LOW).astype(np.uint32)
+        if merged:
+            turned = np.sort(key >> np.uint64(46) << np.uint64(46) | (key & _LOW) << np.uint64(14) | key >> np.uint64(32) & np.uint64(ROWS - 1))
+            name = turned >> np.uint64(14)
+            again = ~_first(name)
+            several = again.copy()
+            several[:-1] |= again[1:]
+            here = np.bincount((turned[several] & np.uint64(ROWS - 1)).astype(np.int64), minlength=len(ids))
+            once = turned[~several]
+            own = np.sort(once >> np.uint64(46) << np.uint64(46) | (once & np.uint64(ROWS - 1)) << np.uint64(32) | once >> np.uint64(14) & _LOW)
+            nobody = name[several & ~again]
+            frag = np.concatenate((nobody >> np.uint64(32), own >> np.uint64(46)))
+            who = np.concatenate((np.full(len(nobody), NOBODY), ids[(own >> np.uint64(32) & np.uint64(ROWS - 1)).astype(np.int64)]))
+            gram = np.concatenate((nobody & _LOW, own & _LOW)).astype(np.uint32)
+            order = np.argsort(frag, kind="stable")
+            who, gram, key = who[order], gram[order], frag[order] << np.uint64(46)
         edge = np.searchsorted(key, np.arange(count + 1, dtype=np.uint64) << np.uint64(46))
         rows = [(f, *_steps(who[a:b], np.uint8), gram[a:b].tobytes(), None) for f, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
         words = _order_of(h, offsets)[by]
@@ -122,7 +142,7 @@ def _entries(n: int, count: int, parts: int):
         by = np.argsort(to, kind="stable")
         some, to = some[by], to[by]
         edge = np.searchsorted(to, np.arange(parts + 1))
-        rows += [(count + p, ids[s].tobytes(), None, size[s].astype(np.uint32).tobytes(), words[s].tobytes()) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a for s in [some[a:b]]]
+        rows += [(count + p, ids[s].tobytes(), here[s].astype(np.uint32).tobytes(), size[s].astype(np.uint32).tobytes(), words[s].tobytes()) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a for s in [some[a:b]]]
         if rows:
             yield _record(rows, ENTRIES)
 
@@ -139,7 +159,7 @@ def _part(ids: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _passed_on(table: pa.Table, part: int) -> pa.Table:
-    rows = [(part, doc.as_py(), None, None, None, None, size.as_py(), words.as_py()) for doc, size, words in zip(*(table.column(k) for k in ("doc", "gram", "words")))]
+    rows = [(part, doc.as_py(), here.as_py(), None, None, None, size.as_py(), words.as_py()) for doc, here, size, words in zip(*(table.column(k) for k in ("doc", "far", "gram", "words")))]
     return pa.Table.from_batches([_record(rows, FIGURES)])
 
 
@@ -170,7 +190,8 @@ def _shared(count: int, parts: int):
         mark[(key & _LOW).astype(np.int64)] = np.repeat(df > 1, df)
         start = np.flatnonzero(_first(who))
         own, n = who[start], np.add.reduceat(mark, start, dtype=np.int64)
-        own, n = own[n > 0], n[n > 0]
+        keep = (n > 0) & (own != NOBODY)
+        own, n = own[keep], n[keep]
         order, edge = _by_part(own, parts)
         own, n = own[order], n[order].astype(np.uint32)
         rows = [(p, *_steps(own[a:b], np.uint16), n[a:b].tobytes(), None, None, None, None) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
@@ -208,24 +229,25 @@ def _headed(count: int, parts: int):
 
 
 def _figures(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """Documents with the sums of their rows' sizes, the number of rows, and word orders (of those with one row); then the other entries' documents."""
+    """Documents with the sums of their rows' sizes and n-grams shared within slices, the number of rows, and word orders (of those with one row); then the other entries and their documents."""
     known = np.array([s.is_valid for s in table.column("size")], bool)
     own = table.filter(pa.array(known))
     docs, at, rows = np.unique(_arrays(own.column("doc"), np.int64), return_inverse=True, return_counts=True)
     size = np.bincount(at, _arrays(own.column("size"), np.uint32), len(docs)).astype(np.int64)
+    here = np.bincount(at, _arrays(own.column("far"), np.uint32), len(docs)).astype(np.int64)
     words = np.zeros((len(docs), 2), np.uint64)
     words[at] = _arrays(own.column("words"), np.uint64).reshape(-1, 2)
     rest = table.filter(pa.array(~known))
     who = np.concatenate([np.empty(0, np.int64), *(_ids(d.as_py(), f.as_py(), np.uint16) for d, f in zip(rest.column("doc"), rest.column("far")))])
-    return docs, size, rows, words, rest, np.searchsorted(docs, who)
+    return docs, size, here, rows, words, rest, np.searchsorted(docs, who)
 
 
 def _survivors(t: float):
     """Documents that have enough shared n-grams for a partner."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, size, rows, words, rest, at = _figures(table)
-        shared = np.bincount(at, _arrays(rest.column("key"), np.uint32), len(docs))
+        docs, size, here, rows, words, rest, at = _figures(table)
+        shared = here + np.bincount(at, _arrays(rest.column("key"), np.uint32), len(docs))
         keep = (shared > 0) & (shared + _slack(size) >= np.ceil(t * size - 1e-9))
         return pa.table({"doc_id": docs[keep], "size": size[keep], "n_rows": rows[keep], "w1": words[keep, 0].view(np.int64), "w2": words[keep, 1].view(np.int64)})
 
@@ -236,7 +258,7 @@ def _memberships(t: float):
     """The cells of each document: the heads of the n-grams in its prefix."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, size, rows, _, rest, at = _figures(table)
+        docs, size, _, rows, _, rest, at = _figures(table)
         key, heads = _arrays(rest.column("key"), np.uint32), [np.empty(0, np.int64)]
         for head, place in zip(rest.column("head"), rest.column("place")):
             raw = _blob(head)
@@ -470,12 +492,12 @@ def _joined(docs: DataFrame, t: float, n: int, send_limit: int, rows, schema: st
     if not 0 < t <= 1:
         raise ValueError("the threshold lies in (0, 1]")
     scratch = Scratch(docs.sparkSession, "ngram-join")
-    texts = docs.select("doc_id", F.lower("text").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    texts = docs.select("doc_id", F.lower("text").alias("text")).where(f"doc_id IS NOT NULL AND doc_id <> {NOBODY} AND text IS NOT NULL")
     count = fragments(docs, 6 << 20)
     parts = max(4, count // 4)
 
     def summed(source, count, parts, each, all_of, schema):
-        sent = source.mapInArrow(_entries(n, count, parts), ENTRIES).repartition(count, "frag").groupBy("frag").applyInArrow(each(count, parts), FIGURES)
+        sent = source.mapInArrow(_entries(n, count, parts, each is _shared), ENTRIES).repartition(count, "frag").groupBy("frag").applyInArrow(each(count, parts), FIGURES)
         return sent.repartition(parts, "part").groupBy("part").applyInArrow(all_of(t), schema)
 
     found = scratch.keep(summed(texts, count, parts, _shared, _survivors, "doc_id bigint, size bigint, n_rows bigint, w1 bigint, w2 bigint"), "survivors")
