@@ -10,7 +10,7 @@ copy by stochastic gradient descent (AdaGrad) in numpy, and the copies are avera
 What the network can't hold, the corpus itself remembers: a word that stands c times elsewhere in the very same
 surroundings (two words on either side), of n times that these surroundings come elsewhere, has the probability
 (c + STRENGTH p) / (n + STRENGTH), where p is the network's. Occurrences are counted in fragments of the surroundings'
-hashes, without the one that is scored. So memory grows with the corpus, and text that occurs more than once scores
+hashes, without the one that is scored; of texts with the same words in a slice one is sent, with their number. So memory grows with the corpus, and text that occurs more than once scores
 higher. A document's score is the sum of the conditional log-probabilities of all its words.
 
 Defined results: null, empty and word-less texts have n_tokens 0, log_prob 0 and a null mean; a corpus without words
@@ -36,14 +36,14 @@ from ._work import Scratch, fragments
 BITS, WIDTH, CLASSES, SIDE = 14, 8, 64, 2
 BUCKETS, BATCH, BLOCK, SLICES = 1 << BITS, 1 << 15, 2048, 16
 #: Words with a probability of their own at most, those with an embedding of their own, and rows of a slice.
-WORDS, DIRECT, ROWS = 1 << 21, 12288, 1 << 16
+WORDS, DIRECT, ROWS = 1 << 21, 12288, 1 << 15
 STRENGTH, STEP = 1.0, 2048.0
 _EACH, _ONES, _ONE_ROW = np.arange(BLOCK), np.ones(CLASSES, np.float32), np.ones(BLOCK, np.float32)
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _PAD = np.uint64(0x2545F4914F6CDD1D)
 SCORES = "doc_id bigint, n_tokens bigint, log_prob double, mean_log_prob double"
 COUNTED = "frag int, words binary, counts binary"
-SENT = "frag int, slice bigint, rows binary, around binary, word binary, chance binary, ids binary, base binary"
+SENT = "frag int, slice bigint, rows binary, around binary, word binary, chance binary, times binary, ids binary, base binary"
 GAINS = "part int, slice bigint, rows binary, gain binary, n binary, ids binary, base binary"
 
 
@@ -288,20 +288,23 @@ def _sent(sent, count: int, parts: int):
         for k, (part, h, bounds) in enumerate(_slices(batches)):
             log_p = word_log_probs(net, vocabulary, h, bounds)
             where = around(h, bounds)
+            first, times = _copies(where, h, bounds)
+            sent_words = np.flatnonzero(np.repeat(first == np.arange(len(first)), np.diff(bounds)))
             frag = _by_fragment(where, count)
-            order = np.sort(frag.astype(np.uint64) << np.uint64(40) | np.arange(len(h), dtype=np.uint64)) & np.uint64((1 << 40) - 1)
+            order = np.sort(frag[sent_words].astype(np.uint64) << np.uint64(40) | sent_words.astype(np.uint64)) & np.uint64((1 << 40) - 1)
             order = order.astype(np.int64)
             edge = np.searchsorted(frag[order], np.arange(count + 1))
             row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[order].astype(np.uint16)
+            each = times[row].astype(np.uint16) if (times > 1).any() else None
             around32, word = where[order].astype(np.uint32), (h[order] & np.uint64(0xFFFF)).astype(np.uint16)
             chance = np.minimum(np.rint(-log_p[order] * STEP), 65535).astype(np.uint16)
-            rows = [(f, base + k, np.diff(row[a:b], prepend=np.uint16(0)).tobytes(), around32[a:b].tobytes(), word[a:b].tobytes(), chance[a:b].tobytes(), None, None) for f, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
+            rows = [(f, base + k, np.diff(row[a:b], prepend=np.uint16(0)).tobytes(), around32[a:b].tobytes(), word[a:b].tobytes(), chance[a:b].tobytes(), None if each is None or (each[a:b] == 1).all() else each[a:b].tobytes(), None, None) for f, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
             sums = np.concatenate(([0.0], np.cumsum(log_p)))
             n = np.diff(bounds)
             ids = part.column("doc_id")
-            known = np.concatenate((ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)))
+            known = np.concatenate((first, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)))
             to = int(_text.mix(np.array([base + k], np.uint64))[0] % np.uint64(parts))
-            rows.append((count + to, base + k, n.astype(np.uint64).tobytes(), None, None, None, known.tobytes(), (sums[bounds[1:]] - sums[bounds[:-1]]).tobytes()))
+            rows.append((count + to, base + k, n.astype(np.uint64).tobytes(), None, None, None, None, known.tobytes(), (sums[bounds[1:]] - sums[bounds[:-1]]).tobytes()))
             yield _record(rows, SENT)
 
     return run
@@ -316,10 +319,11 @@ def _remembered(count: int, parts: int):
             return pa.Table.from_batches([_record([(frag - count, s.as_py(), None, None, n.as_py(), i.as_py(), b.as_py()) for s, n, i, b in zip(*(table.column(k) for k in ("slice", "rows", "ids", "base")))], GAINS)])
         near, word = _joined(table.column("around"), np.uint32).astype(np.uint64), _joined(table.column("word"), np.uint16).astype(np.uint64)
         chance = np.exp(_joined(table.column("chance"), np.uint16) / -STEP)
+        times = [np.ones(len(w.as_py()) // 2, np.int64) if t is None else np.frombuffer(t, np.uint16).astype(np.int64) for w, t in zip(table.column("word"), table.column("times").to_pylist())]
         key = near << np.uint64(16) | word
         order = np.argsort(key)
-        key = key[order]
-        same, about = (_times(x) for x in (key, key >> np.uint64(16)))
+        key, times = key[order], np.concatenate(times)[order]
+        same, about = (_times(x, times) for x in (key, key >> np.uint64(16)))
         many = about > 1
         at, p = order[many], chance[order[many]]
         gain = np.zeros(len(order))
@@ -339,11 +343,21 @@ def _remembered(count: int, parts: int):
     return run
 
 
-def _times(x: np.ndarray) -> np.ndarray:
-    """How often each element of a sorted array is in it."""
+def _times(x: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """How often each element of a sorted array is in it, if it stands for so many."""
     first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
-    n = np.diff(np.append(first, len(x)))
-    return np.repeat(n, n)
+    return np.repeat(np.add.reduceat(times, first), np.diff(np.append(first, len(x)))) if len(x) else times
+
+
+def _copies(where: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the first of those with the same words in this slice, and of how many words' worth it stands for."""
+    sums = np.zeros((2, len(h) + 1), np.uint64)
+    place = _text.mix(np.arange(len(h), dtype=np.uint64) - np.repeat(bounds[:-1], np.diff(bounds)).astype(np.uint64))
+    for k, x in enumerate((_text.mix(h ^ place), where * (place | np.uint64(1)))):
+        np.cumsum(x, out=sums[k, 1:])
+    key = np.stack([*(s[bounds[1:]] - s[bounds[:-1]] for s in sums), np.diff(bounds).astype(np.uint64)])
+    _, first, at, times = np.unique(key, axis=1, return_index=True, return_inverse=True, return_counts=True)
+    return first[at.ravel()], times[at.ravel()]
 
 
 def _scores(table: pa.Table) -> pa.Table:
@@ -356,7 +370,8 @@ def _scores(table: pa.Table) -> pa.Table:
         n, ids, base = next((np.frombuffer(p[2], np.int64), np.frombuffer(p[3], np.int64), np.frombuffer(p[4], np.float64).copy()) for p in pieces if p[2] is not None)
         for rows, gain in ((np.frombuffer(p[0], np.uint16), np.frombuffer(p[1], np.float32)) for p in pieces if p[0] is not None):
             base[rows] += gain
-        doc, valid = np.split(ids, 2)
+        first, doc, valid = np.split(ids, 3)
+        base = base[first]
         base[n == 0] = 0
         out.append(pa.table({"doc_id": pa.array(doc, mask=valid == 0), "n_tokens": n, "log_prob": base, "mean_log_prob": pa.array(base / np.maximum(n, 1), mask=n == 0)}))
     return pa.concat_tables(out)
