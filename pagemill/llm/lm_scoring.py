@@ -49,7 +49,7 @@ GAINS = "part int, slice bigint, rows binary, gain binary, n binary, ids binary,
 
 def _slices(batches):
     """(rows, word hashes of all, bounds) of runs of rows."""
-    for part, buf, bounds in _text.slices(batches):
+    for part, buf, bounds in _text.slices(batches, limit=3 << 20):
         for i in range(0, part.num_rows, ROWS):
             some = part.slice(i, ROWS)
             h, _, _, offsets = _text.words(buf, bounds[i : i + some.num_rows + 1])
