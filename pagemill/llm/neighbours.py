@@ -330,7 +330,7 @@ def nearest(vectors: DataFrame, k: int = 10, factor: float = 1.0, shard_rows: in
 
 
 #: Production's pruning factor; recall against brute force is in the README.
-FACTOR = 6.0
+FACTOR = 3.0
 #: Production's queries are the rows whose id this divides.
 EVERY = 20
 
