@@ -360,6 +360,19 @@ def kernel_otsu(spark, d):
     return kernel_stage(_images(spark, d), lambda x: {"threshold": kernels.otsu(kernels.to_gray(x))}, "threshold bigint", ["img"])
 
 
+def kernel_turns(spark, d):
+    """The NumPy turns, pixel by pixel; their SQL is that of the relational form."""
+    def turned(angle: int) -> DataFrame:
+        def turn(x):
+            out = kernels.apply_rotation(x, angle)
+            return {"wide": out.shape[1], "values": out[..., 0].ravel().tolist()}
+
+        rows = kernel_stage(_images(spark, d), turn, "wide bigint, values array<bigint>", ["img"])
+        return rows.select("img", "wide", F.posexplode("values").alias("at", "v")).selectExpr("img", "at DIV wide AS y", "at % wide AS x", "v", f"CAST({angle} AS BIGINT) AS angle")
+
+    return turned(90).unionByName(turned(-90)).unionByName(turned(180))
+
+
 def kernel_scores(spark, d):
     """Every kernel of orientation, contrast and skew once over every raster."""
     def scores(x):
@@ -394,7 +407,7 @@ _QUERIES = [
     page_contents, page_records, transcription_extract, extract_modes, content_id, identical_content, page_plan, drop_blank, page_error_isolation, metadata_precedence,
     page_order, markdown_text, json_content, ocr_line_assembly, mode_dispatch, message_build, refine_prompts, retry_schedule, file_names, page_dims, aspect, rotation_decide,
     orientation_total, line_angle, gray_pixels, gray_histogram, otsu_threshold, row_profile, column_profile, profile_bounds, main_block, crop_guard, crop_first_pass, crop_box,
-    top_heavy, row_variance, quarter_turn, white_balance, padded, reflect_route, critic_parse, reflect_loop, kernel_crop_box, kernel_otsu, kernel_scores,
+    top_heavy, row_variance, quarter_turn, white_balance, padded, reflect_route, critic_parse, reflect_loop, kernel_crop_box, kernel_otsu, kernel_turns, kernel_scores,
 ]
 
 

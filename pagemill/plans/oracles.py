@@ -226,3 +226,5 @@ SELECT f.img, f.y, f.x, CAST(coalesce(px.v, 255) AS BIGINT) AS v FROM f LEFT JOI
     "critic_parse": f"""SELECT doc_id, CASE WHEN {_OK} THEN {_SCORE} END AS score, CAST(CASE WHEN {_OK} THEN {_ISSUES} END AS BIGINT) AS issues, CASE WHEN {_OK} AND {_ISSUES} > 0 THEN 'row 0 is cut' END AS first_issue, CASE WHEN {_OK} THEN true END AS needs_revision FROM documents""",
     "reflect_loop": _loop(),
 }
+# The kernels have the SQL of the relational forms that they must agree with.
+ORACLES["kernel_turns"] = ORACLES["quarter_turn"]
