@@ -14,6 +14,12 @@ from ..config import EngineConfig
 from ..shared import stored
 
 
+def _of_image(many: DataFrame, one: DataFrame, how: str = "inner") -> DataFrame:
+    """Adds what has a row for each image. Spark can't tell how many rows pixels and profiles are, as they come out of explode,
+    and would send them to the driver as the smaller side; so it is told to hash the other side, partition by partition."""
+    return many.join(one.hint("shuffle_hash"), "img", how)
+
+
 def gray(b: Column, g: Column, r: Column) -> Column:
     """Fixed-point luma, a whole number."""
     return F.shiftright(b * 1868 + g * 9617 + r * 4899 + 8192, 14)
@@ -43,18 +49,22 @@ def otsu(pixels: DataFrame) -> DataFrame:
 
 def ink(pixels: DataFrame) -> DataFrame:
     """The pixels with ink: gray at most the threshold of their image."""
-    return pixels.join(otsu(pixels), "img").where("v <= threshold").drop("threshold")
+    return _of_image(pixels, otsu(pixels)).where("v <= threshold").drop("threshold")
+
+
+def _filled(counted: DataFrame, dims: DataFrame, size: str, at: str) -> DataFrame:
+    """The counts of every line, 0 for those without any."""
+    every = dims.select("img", F.explode(F.sequence(F.lit(0), F.col(size).cast("int") - 1)).alias(at))
+    return every.join(counted.hint("merge"), ["img", at], "left").fillna(0, ["n"])
 
 
 def row_profile(inked: DataFrame, dims: DataFrame) -> DataFrame:
     """Ink of every row, empty ones included: img, y, n. dims has img, h and w."""
-    rows = dims.select("img", F.explode(F.sequence(F.lit(0), F.col("h").cast("int") - 1)).alias("y"))
-    return rows.join(inked.groupBy("img", "y").agg(F.count("*").alias("n")), ["img", "y"], "left").fillna(0, ["n"])
+    return _filled(inked.groupBy("img", "y").agg(F.count("*").alias("n")), dims, "h", "y")
 
 
 def column_profile(inked: DataFrame, dims: DataFrame) -> DataFrame:
-    columns = dims.select("img", F.explode(F.sequence(F.lit(0), F.col("w").cast("int") - 1)).alias("x"))
-    return columns.join(inked.groupBy("img", "x").agg(F.count("*").alias("n")), ["img", "x"], "left").fillna(0, ["n"])
+    return _filled(inked.groupBy("img", "x").agg(F.count("*").alias("n")), dims, "w", "x")
 
 
 def _int(x: Column) -> Column:
@@ -65,12 +75,12 @@ def mask_footer(rows: DataFrame, dims: DataFrame, percent: float = 12) -> DataFr
     """Clears the lowest rows. Where they are less than one, the whole profile is cleared."""
     cut = _int(F.col("h") * float(percent) / 100)
     n = F.when((cut == 0) | (F.col("y") >= F.col("h") - cut), 0).otherwise(F.col("n"))
-    return rows.join(dims.select("img", "h"), "img").withColumn("n", n.cast("bigint")).select("img", "y", "n")
+    return _of_image(rows, dims.select("img", "h")).withColumn("n", n.cast("bigint")).select("img", "y", "n")
 
 
 def profile_bounds(profile: DataFrame, at: str, more_than: DataFrame) -> DataFrame:
     """First and last place with more than img's `least` ink; images without any have no row."""
-    return profile.join(more_than, "img").where("n > least").groupBy("img").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    return _of_image(profile, more_than).where("n > least").groupBy("img").agg(F.min(at).alias("first"), F.max(at).alias("last"))
 
 
 def main_block(rows: DataFrame, gap: int = 100) -> DataFrame:
@@ -96,7 +106,7 @@ def _box(rows: DataFrame, columns: DataFrame, dims: DataFrame, config: EngineCon
     least_column = dims.select("img", _int(F.col("h") * config.column_ink_ratio).alias("least"))
     tb = profile_bounds(rows, "y", least_row).withColumnsRenamed({"first": "top", "last": "bottom"})
     lr = profile_bounds(columns, "x", least_column).withColumnsRenamed({"first": "left", "last": "right"})
-    return dims.join(tb, "img").join(lr, "img")
+    return _of_image(_of_image(dims, tb), lr)
 
 
 def first_pass(pixels: DataFrame, dims: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -105,9 +115,9 @@ def first_pass(pixels: DataFrame, dims: DataFrame, config: EngineConfig = Engine
     rows, columns = row_profile(inked, dims), column_profile(inked, dims)
     if config.ignore_bottom_percent > 0:
         rows = mask_footer(rows, dims, config.ignore_bottom_percent)
-    found = _box(rows, columns, dims, config).drop("top", "bottom").join(main_block(rows, config.footer_gap).drop("rows"), "img")
+    found = _of_image(_box(rows, columns, dims, config).drop("top", "bottom"), main_block(rows, config.footer_gap).drop("rows"))
     p = config.padding_size
-    out = dims.select("img", "h", "w").join(found.drop("h", "w"), "img", "left")
+    out = _of_image(dims.select("img", "h", "w"), found.drop("h", "w"), "left")
     top, bottom = guard(F.col("h"), F.col("top"), F.col("bottom"), config.max_crop_percent)
     left, right = guard(F.col("w"), F.col("left"), F.col("right"), config.max_crop_percent)
     cropped = F.col("top").isNotNull()
@@ -141,18 +151,18 @@ def crop_box(pixels: DataFrame, dims: DataFrame, config: EngineConfig = EngineCo
     c, d = guard(F.col("w"), F.col("left"), F.col("right"), config.max_crop_percent)
     two = two.select("img", a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
     pick = lambda base, x, old: F.when(F.col("a").isNull(), F.col(old)).otherwise(F.col(base) + F.col(x)).cast("int").alias(old)
-    return one.join(two, "img", "left").select("img", pick("top", "a", "top"), pick("top", "b", "bottom"), pick("left", "c", "left"), pick("left", "d", "right"))
+    return _of_image(one, two, "left").select("img", pick("top", "a", "top"), pick("top", "b", "bottom"), pick("left", "c", "left"), pick("left", "d", "right"))
 
 
 def top_heavy(inked: DataFrame, dims: DataFrame, cap: float = 5.0) -> DataFrame:
     """Density of the upper third, and half of the middle one, against the lower third's."""
     third = F.when(F.col("y") < F.floor(F.col("h") / 3), 0).when(F.col("y") < F.floor(F.col("h") * 2 / 3), 1).otherwise(2)
-    sums = inked.join(dims, "img").groupBy("img").agg(*[F.sum(F.when(third == k, 255).otherwise(0)).alias(f"s{k}") for k in range(3)])
+    sums = _of_image(inked, dims).groupBy("img").agg(*[F.sum(F.when(third == k, 255).otherwise(0)).alias(f"s{k}") for k in range(3)])
     a, b = F.floor(F.col("h") / 3), F.floor(F.col("h") * 2 / 3)
     sizes = (a * F.col("w"), (b - a) * F.col("w"), (F.col("h") - b) * F.col("w"))
     d = [F.coalesce(F.col(f"s{k}"), F.lit(0)) / (sizes[k] + F.lit(1e-6).cast("double")) for k in range(3)]
     score = F.least((d[0] + d[1] * F.lit(0.5)) / (d[2] + F.lit(1e-6).cast("double")), F.lit(float(cap)))
-    return dims.join(sums, "img", "left").select("img", score.alias("score"))
+    return _of_image(dims, sums, "left").select("img", score.alias("score"))
 
 
 def row_variance(inked: DataFrame, dims: DataFrame) -> DataFrame:
@@ -165,7 +175,7 @@ def quarter_turn(pixels: DataFrame, dims: DataFrame, angle: int) -> DataFrame:
     y, x, h, w = (F.col(k) for k in "yxhw")
     to = {90: (x, h - 1 - y), -90: (w - 1 - x, y), 180: (h - 1 - y, w - 1 - x)}.get(angle, (y, x))
     rest = [c for c in pixels.columns if c not in ("img", "y", "x")]
-    return pixels.join(dims.select("img", "h", "w"), "img").select("img", to[0].cast("int").alias("y"), to[1].cast("int").alias("x"), *rest)
+    return _of_image(pixels, dims.select("img", "h", "w")).select("img", to[0].cast("int").alias("y"), to[1].cast("int").alias("x"), *rest)
 
 
 def white_balance(pixels: DataFrame) -> DataFrame:

@@ -255,7 +255,7 @@ def otsu_threshold(spark, d):
 def row_profile(spark, d):
     px, dims = _raster(spark, d)
     rows = PX.row_profile(PX.ink(px), dims)
-    masked = PX.mask_footer(rows, dims).withColumnRenamed("n", "masked")
+    masked = PX.mask_footer(rows, dims).withColumnRenamed("n", "masked").hint("merge")
     return _plain(rows.join(masked, ["img", "y"]))
 
 
