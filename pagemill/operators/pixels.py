@@ -67,6 +67,13 @@ def column_profile(inked: DataFrame, dims: DataFrame) -> DataFrame:
     return _filled(inked.groupBy("img", "x").agg(F.count("*").alias("n")), dims, "w", "x")
 
 
+def profiles(inked: DataFrame, dims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both profiles, counted in one pass over the pixels and written once, as several steps read them."""
+    places = inked.select("img", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
+    counted = stored(places.groupingSets([["img", "y"], ["img", "x"]], "img", "y", "x").agg(F.count("*").alias("n")), "profiles")
+    return tuple(_filled(counted.where(f"{at} IS NOT NULL").select("img", at, "n"), dims, size, at) for size, at in (("h", "y"), ("w", "x")))
+
+
 def _int(x: Column) -> Column:
     return x.cast("int")
 
@@ -111,8 +118,7 @@ def _box(rows: DataFrame, columns: DataFrame, dims: DataFrame, config: EngineCon
 
 def first_pass(pixels: DataFrame, dims: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """img, top, bottom, left, right (half open) and whether the image is cropped at all."""
-    inked = ink(pixels)
-    rows, columns = row_profile(inked, dims), column_profile(inked, dims)
+    rows, columns = profiles(ink(pixels), dims)
     if config.ignore_bottom_percent > 0:
         rows = mask_footer(rows, dims, config.ignore_bottom_percent)
     found = _of_image(_box(rows, columns, dims, config).drop("top", "bottom"), main_block(rows, config.footer_gap).drop("rows"))
@@ -136,7 +142,7 @@ def cut(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """The pixels within their image's box, counted from its corner."""
     inside = "y >= top AND y < bottom AND x >= left AND x < right"
     rest = [c for c in pixels.columns if c not in ("img", "y", "x")]
-    return pixels.join(boxes, "img").where(inside).select("img", (F.col("y") - F.col("top")).alias("y"), (F.col("x") - F.col("left")).alias("x"), *rest)
+    return _of_image(pixels, boxes).where(inside).select("img", (F.col("y") - F.col("top")).alias("y"), (F.col("x") - F.col("left")).alias("x"), *rest)
 
 
 def crop_box(pixels: DataFrame, dims: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -145,8 +151,7 @@ def crop_box(pixels: DataFrame, dims: DataFrame, config: EngineConfig = EngineCo
     inner = one.where("cropped AND bottom > top AND right > left")
     part = cut(pixels, inner.select("img", "top", "bottom", "left", "right"))
     sizes = inner.select("img", (F.col("bottom") - F.col("top")).alias("h"), (F.col("right") - F.col("left")).alias("w"))
-    inked = ink(part)
-    two = _box(row_profile(inked, sizes), column_profile(inked, sizes), sizes, config)
+    two = _box(*profiles(ink(part), sizes), sizes, config)
     a, b = guard(F.col("h"), F.col("top"), F.col("bottom"), config.max_crop_percent)
     c, d = guard(F.col("w"), F.col("left"), F.col("right"), config.max_crop_percent)
     two = two.select("img", a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
