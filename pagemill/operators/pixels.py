@@ -189,7 +189,7 @@ def white_balance(pixels: DataFrame) -> DataFrame:
     means = pixels.groupBy("img").agg(*[(F.sum(c).cast("double") / F.count("*")).alias(f"m{c}") for c in "bgr"])
     middle = (F.col("mb") + F.col("mg") + F.col("mr")) / 3
     scaled = lambda c: F.when(F.col(f"m{c}") > 0, F.least(F.floor(F.col(c) * (middle / F.col(f"m{c}"))), F.lit(255))).otherwise(F.col(c)).cast("int").alias(c)
-    return pixels.join(means, "img").select("img", "y", "x", *[scaled(c) for c in "bgr"])
+    return _of_image(pixels, means).select("img", "y", "x", *[scaled(c) for c in "bgr"])
 
 
 def padded(pixels: DataFrame, dims: DataFrame, size: int = 16, value: int = 255) -> DataFrame:

@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["column_profile", "crop_box", "crop_first_pass", "main_block", "profile_bounds", "row_profile", "row_variance", "top_heavy", "quarter_turn"])
+@pytest.mark.parametrize("name", ["column_profile", "crop_box", "crop_first_pass", "main_block", "profile_bounds", "row_profile", "row_variance", "top_heavy", "white_balance", "quarter_turn"])
 def test_no_join_of_pixels_goes_through_the_driver(spark, monkeypatch, name):
     plans, stored = [], PX.stored
     monkeypatch.setattr(PX, "stored", lambda df, to: plans.append(plan(df)) or stored(df, to))
