@@ -31,6 +31,8 @@ DIMS = "s_suppkey AS img, CAST(4 + (s_suppkey * 37) % 250 AS INT) AS h, CAST(8 +
 PIXEL = """CASE WHEN img % 11 = 0 THEN 255 WHEN img % 13 = 0 THEN 0
 WHEN y % 4 < 2 AND NOT (y >= 20 AND y < 80 + img % 90) AND x >= img % 5 AND x < w - img % 7 THEN (x * 31 + y * 17 + img * 7) % 60
 ELSE 200 + (x * 7 + y * 3 + img) % 40 END"""
+#: Pixels of a task, at most about.
+TASK_PIXELS = 2 << 20
 SIZES = "l_orderkey, l_linenumber, CAST(300 + l_partkey % 4500 AS BIGINT) AS h, CAST(200 + (l_suppkey * 37 + l_orderkey) % 4300 AS BIGINT) AS w"
 SCORES = """event_id, CASE WHEN user_id % 7 = 0 THEN NULL ELSE CAST(CASE event_id % 9 WHEN 0 THEN 0 WHEN 1 THEN 4 WHEN 2 THEN -5 WHEN 3 THEN 85 WHEN 4 THEN -90 WHEN 5 THEN 90 WHEN 6 THEN -85 WHEN 7 THEN 176 ELSE 30 END AS DOUBLE) END AS angle,
 CAST((event_id * 7) % 300 AS DOUBLE) / 100 AS cw, CAST((event_id * 11 + user_id) % 300 AS DOUBLE) / 100 AS ccw, CAST((event_id * 13 + user_id * 3) % 320 AS DOUBLE) / 100 AS original,
@@ -232,7 +234,10 @@ def _dims(spark, d) -> DataFrame:
 
 
 def _raster(spark, d, value: str = PIXEL) -> tuple[DataFrame, DataFrame]:
+    """Pixels and sizes, parted by image once, so that no step behind has to shuffle pixels, in as many tasks as there are pixels for."""
     dims = _dims(spark, d)
+    area = dims.agg(F.sum(F.expr("CAST(h AS BIGINT) * w"))).first()[0] or 0
+    dims = dims.repartition(max(spark.sparkContext.defaultParallelism, -(-area // TASK_PIXELS)), "img")
     rows = dims.select("img", "h", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
     px = rows.select("img", "h", "w", "y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
     return px.select("img", "y", "x", F.expr(value).cast("int").alias("v")), dims

@@ -19,3 +19,10 @@ def test_no_join_of_pixels_goes_through_the_driver(spark, monkeypatch, name):
     monkeypatch.setattr(PX, "stored", lambda df, to: plans.append(plan(df)) or stored(df, to))
     plans.append(plan(catalogue.queries()[name](spark, SF)))
     assert any("Generate" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("name", ["gray_histogram", "otsu_threshold"])
+def test_rasters_are_as_many_tasks_as_their_pixels_need(spark, monkeypatch, name):
+    area = catalogue._dims(spark, SF).selectExpr("sum(h * w)").first()[0]
+    monkeypatch.setattr(catalogue, "TASK_PIXELS", area // 20, raising=False)
+    assert catalogue.queries()[name](spark, SF).rdd.getNumPartitions() >= 20
