@@ -22,6 +22,8 @@ ADDED = "content string, error string, processing_time double, reflect_iteration
 _KINDS = {"content": pa.string(), "error": pa.string(), "processing_time": pa.float64(), "reflect_iterations": pa.int32(), "final_critic_score": pa.int32(), "final_critic_issues": pa.list_(pa.string())}
 #: Arrow batches are bounded in bytes: rasters are large, and rows say nothing of that.
 BATCH_BYTES = 64 << 20
+#: Rows of a batch that are unpacked, worked on and sent on at once.
+ROWS = 64
 
 
 def raster(image: dict) -> np.ndarray:
@@ -57,7 +59,7 @@ def run_stage(images: DataFrame, mode: ParsingMode, config: EngineConfig, transp
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if mode == ParsingMode.BASIC_OCR:
         build_recognizer = build_recognizer or rec.default_builder(config)
-        key, at_once = rec.session_key(config, build_recognizer), config.max_concurrency
+        key, at_once = rec.session_key(config, build_recognizer), 1  # a task works on one page at a time: it has one core, and a page's arrays are large
     else:  # the model's server is called for so many pages at once, however many executors there are
         images, key, at_once = images.coalesce(max(1, config.max_concurrency)), "", 1
     done_pages = spark.sparkContext.accumulator(0) if progress else None
@@ -89,11 +91,12 @@ def run_stage(images: DataFrame, mode: ParsingMode, config: EngineConfig, transp
         return out | {"processing_time": time.monotonic() - began}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = bounded(one, batch.select([n for n in ("path", "page_number", "image", "error") if n in batch.schema.names]).to_pylist(), at_once)
-            if done_pages is not None:
-                done_pages.add(len(done))
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], *[pa.array([d[k] for d in done], t) for k, t in _KINDS.items()]], [*[f.name for f in rest], *_KINDS])
+        for whole in batches:
+            for batch in (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS)):
+                done = bounded(one, batch.select([n for n in ("path", "page_number", "image", "error") if n in batch.schema.names]).to_pylist(), at_once)
+                if done_pages is not None:
+                    done_pages.add(len(done))
+                yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], *[pa.array([d[k] for d in done], t) for k, t in _KINDS.items()]], [*[f.name for f in rest], *_KINDS])
 
     if progress:
         progress[0] = done_pages
@@ -103,12 +106,14 @@ def run_stage(images: DataFrame, mode: ParsingMode, config: EngineConfig, transp
 def kernel_stage(images: DataFrame, kernel: Callable[[np.ndarray], dict], schema: str, keep: list[str]) -> DataFrame:
     """Any NumPy kernel over rasters: its dict of plain values beside some columns."""
     ship(images.sparkSession)
+    images.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     names = [p.strip().split(" ")[0] for p in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [kernel(raster(i)) for i in batch.column("image").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], *[pa.array([g[n] for g in got]) for n in names]], [*keep, *names])
+        for whole in batches:
+            for batch in (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS)):
+                got = [kernel(raster(i)) for i in batch.column("image").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], *[pa.array([g[n] for g in got]) for n in names]], [*keep, *names])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema if f.name in keep)
     return images.select(*keep, "image").mapInArrow(run, f"{kept}, {schema}")

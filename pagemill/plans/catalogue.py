@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,7 @@ from ..operators import pages as P
 from ..operators import pixels as PX
 from ..operators.reflect import unrolled
 from ..operators.stage import kernel_stage, run_stage
+from ..shared import ship
 from .oracles import ORACLES
 
 REPLY = """CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN 'Here: <transcription>' || chr(10) || text || chr(10) || '</transcription> done'
@@ -31,6 +34,7 @@ DIMS = "s_suppkey AS img, CAST(4 + (s_suppkey * 37) % 250 AS INT) AS h, CAST(8 +
 PIXEL = """CASE WHEN img % 11 = 0 THEN 255 WHEN img % 13 = 0 THEN 0
 WHEN y % 4 < 2 AND NOT (y >= 20 AND y < 80 + img % 90) AND x >= img % 5 AND x < w - img % 7 THEN (x * 31 + y * 17 + img * 7) % 60
 ELSE 200 + (x * 7 + y * 3 + img) % 40 END"""
+_IMAGE = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
 #: Pixels of a task, at most about.
 TASK_PIXELS = 2 << 20
 SIZES = "l_orderkey, l_linenumber, CAST(300 + l_partkey % 4500 AS BIGINT) AS h, CAST(200 + (l_suppkey * 37 + l_orderkey) % 4300 AS BIGINT) AS w"
@@ -233,11 +237,16 @@ def _dims(spark, d) -> DataFrame:
     return _t(spark, d, "supplier").selectExpr(*_split(DIMS))
 
 
-def _raster(spark, d, value: str = PIXEL) -> tuple[DataFrame, DataFrame]:
-    """Pixels and sizes, parted by image once, so that no step behind has to shuffle pixels, in as many tasks as there are pixels for."""
+def _parted(spark, d) -> DataFrame:
+    """Sizes, parted by image in as many tasks as there are pixels for."""
     dims = _dims(spark, d)
     area = dims.agg(F.sum(F.expr("CAST(h AS BIGINT) * w"))).first()[0] or 0
-    dims = dims.repartition(max(spark.sparkContext.defaultParallelism, -(-area // TASK_PIXELS)), "img")
+    return dims.repartition(max(spark.sparkContext.defaultParallelism, -(-area // TASK_PIXELS)), "img")
+
+
+def _raster(spark, d, value: str = PIXEL) -> tuple[DataFrame, DataFrame]:
+    """Pixels and sizes, parted by image once, so that no step behind has to shuffle pixels."""
+    dims = _parted(spark, d)
     rows = dims.select("img", "h", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
     px = rows.select("img", "h", "w", "y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
     return px.select("img", "y", "x", F.expr(value).cast("int").alias("v")), dims
@@ -344,13 +353,29 @@ def reflect_loop(spark, d):
     return _plain(out.select("doc_id", "accumulated_text", "iteration_count", F.size("generation_history").alias("generations"), "critic_score", F.size("critic_issues").alias("issues"), "reflect_iteration"))
 
 
+def drawn(img: int, h: int, w: int) -> np.ndarray:
+    """PIXEL for a whole raster at once."""
+    y, x = np.ogrid[:h, :w]
+    if img % 11 == 0 or img % 13 == 0:
+        return np.full((h, w), 0 if img % 11 else 255, np.uint8)
+    inked = (y % 4 < 2) & ~((y >= 20) & (y < 80 + img % 90)) & (x >= img % 5) & (x < w - img % 7)
+    return np.where(inked, (x * 31 + y * 17 + img * 7) % 60, 200 + (x * 7 + y * 3 + img) % 40).astype(np.uint8)
+
+
 def _images(spark, d) -> DataFrame:
-    """The rasters as images, a row each."""
-    px, dims = _raster(spark, d)
-    by = F.array_sort(F.collect_list(F.struct("y", "x", "v")))
-    data = px.groupBy("img").agg(F.unhex(F.array_join(F.transform(by, lambda p: F.repeat(F.lpad(F.hex(p["v"]), 2, "0"), 3)), "")).alias("data"))
-    image = F.struct(F.lit("made").alias("origin"), F.col("h").alias("height"), F.col("w").alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), "data")
-    return dims.join(data, "img").select("img", image.alias("image"), F.lit(None).cast("string").alias("error"))
+    """The rasters as images, a row each, drawn where they are used: no pixel is a row, and none is shuffled."""
+    ship(spark)
+
+    def draw(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows = batch.slice(at, 64).to_pylist()
+                images = [{"origin": "made", "height": r["h"], "width": r["w"], "nChannels": 3, "mode": 16, "data": np.repeat(drawn(r["img"], r["h"], r["w"]), 3).tobytes()} for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([r["img"] for r in rows], batch.schema.field("img").type), pa.array(images, _IMAGE)], ["img", "image"])
+
+    dims = _parted(spark, d).where("img IS NOT NULL")
+    made = dims.mapInArrow(draw, f"img {dims.schema['img'].dataType.simpleString()}, image struct<origin string, height int, width int, nChannels int, mode int, data binary>")
+    return made.withColumn("error", F.lit(None).cast("string"))
 
 
 def kernel_crop_box(spark, d):
@@ -367,15 +392,16 @@ def kernel_otsu(spark, d):
 
 def kernel_turns(spark, d):
     """The NumPy turns, pixel by pixel; their SQL is that of the relational form."""
-    def turned(angle: int) -> DataFrame:
-        def turn(x):
-            out = kernels.apply_rotation(x, angle)
-            return {"wide": out.shape[1], "values": out[..., 0].ravel().tolist()}
+    angles = (90, -90, 180)
 
-        rows = kernel_stage(_images(spark, d), turn, "wide bigint, values array<bigint>", ["img"])
-        return rows.select("img", "wide", F.posexplode("values").alias("at", "v")).selectExpr("img", "at DIV wide AS y", "at % wide AS x", "v", f"CAST({angle} AS BIGINT) AS angle")
+    def turn(x):
+        out = [kernels.apply_rotation(x, a)[..., 0] for a in angles]
+        return {f"{k}{n}": v for n, o in enumerate(out) for k, v in (("wide", o.shape[1]), ("values", o.ravel().astype(np.int16)))}
 
-    return turned(90).unionByName(turned(-90)).unionByName(turned(180))
+    rows = kernel_stage(_images(spark, d), turn, ", ".join(f"wide{n} bigint, values{n} array<smallint>" for n in range(3)), ["img"])
+    each = F.explode(F.array(*[F.struct(F.lit(a).cast("bigint").alias("angle"), F.col(f"wide{n}").alias("wide"), F.col(f"values{n}").alias("values")) for n, a in enumerate(angles)]))
+    turned = rows.select("img", each.alias("t")).select("img", "t.angle", "t.wide", F.posexplode("t.values").alias("at", "v"))
+    return turned.selectExpr("img", "at DIV wide AS y", "at % wide AS x", "CAST(v AS BIGINT) AS v", "angle")
 
 
 def kernel_scores(spark, d):
